@@ -15,9 +15,18 @@ DIRECTIVES = {
     "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD", "z": "xx",
 }
 
-# Layouts tried, in this order, after ISO 8601.
-LAYOUTS = ["yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd MMM yyyy", "MMM dd, yyyy",
-           "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss"]
+# Layouts tried, in this order, after ISO 8601, each with the shape text must have. The
+# shape keeps text that is no date away from the parser, whose failures are slow.
+LAYOUTS = [
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", r"^(0[1-9]|1[0-2])/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy", r"^\d{2}/(0[1-9]|1[0-2])/\d{4}$"),
+    ("MM-dd-yyyy", r"^(0[1-9]|1[0-2])-\d{2}-\d{4}$"),
+    ("dd MMM yyyy", r"^\d{2} [A-Z][a-z]{2} \d{4}$"),
+    ("MMM dd, yyyy", r"^[A-Z][a-z]{2} \d{2}, \d{4}$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("MM/dd/yyyy HH:mm:ss", r"^(0[1-9]|1[0-2])/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"),
+]
 
 
 def java_pattern(fmt: str) -> str:
@@ -44,10 +53,9 @@ def as_timestamp(df: DataFrame, name: str, fmt: str | None = None) -> Column:
     text = col(name)
     if fmt:
         return F.try_to_timestamp(text, F.lit(java_pattern(fmt))).cast("timestamp_ntz")
-    digit = text.rlike(r"\d")
     tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in LAYOUTS]
-    return F.when(digit, F.coalesce(*tries))
+    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz")) for p, shape in LAYOUTS]
+    return F.when(text.rlike(r"\d{4}"), F.coalesce(*tries))
 
 
 def micros(ts: Column) -> Column:

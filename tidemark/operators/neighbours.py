@@ -46,22 +46,28 @@ def fill_from_neighbours(df: DataFrame, target: str, features: list[str], k: int
     return whole.select(*[F.col("__fill").alias(target) if c == target else F.col(f"`{c}`") for c in df.columns])
 
 
-def _root_mean_square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances between two sets of vectors over the features both have; NaN where they share none."""
-    total = np.zeros((len(a), len(b)))
-    shared = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        gap = a[:, j, None] - b[None, :, j]
-        known = ~np.isnan(gap)
-        total += np.where(known, gap * gap, 0.0)
-        shared += known
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.sqrt(total / shared)
+def _distance():
+    """The distance function; made here so that it travels to the executors with the tasks that call it."""
+
+    def root_mean_square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # over the features both have; NaN where two vectors share none
+        total = np.zeros((len(a), len(b)))
+        shared = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            gap = a[:, j, None] - b[None, :, j]
+            known = ~np.isnan(gap)
+            total += np.where(known, gap * gap, 0.0)
+            shared += known
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.sqrt(total / shared)
+
+    return root_mean_square
 
 
 def _nearest(donors: DataFrame, receivers: DataFrame, k: int, donor_block: int, receiver_block: int) -> DataFrame:
     """Rows (__vec, __fill) for every receiver that shares a feature with a donor."""
     spark = donors.sparkSession
+    distance, odd_cell = _distance(), ODD_CELL
     odd = F.exists("__vec", F.isnan)
     total = donors.count()
     wanted = max(1, min(MAX_PIVOTS, total // donor_block))
@@ -74,15 +80,15 @@ def _nearest(donors: DataFrame, receivers: DataFrame, k: int, donor_block: int,
     def place(vectors: pd.Series) -> pd.DataFrame:
         v = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, pivots.shape[1]))
         holes = np.isnan(v).any(axis=1)
-        d = _root_mean_square(np.where(holes[:, None], 0.0, v), pivots)
+        d = distance(np.where(holes[:, None], 0.0, v), pivots)
         cell = d.argmin(axis=1) if len(v) else np.zeros(0, int)
         away = d[np.arange(len(v)), cell] if len(v) else np.zeros(0)
-        return pd.DataFrame({"cell": np.where(holes, ODD_CELL, cell).astype("int32"), "away": away})
+        return pd.DataFrame({"cell": np.where(holes, odd_cell, cell).astype("int32"), "away": away})
 
     placed = donors.withColumn("at", place("__vec")).select("__vec", "__y", "n", "at.cell", "at.away")
     cells = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("away").alias("radius")).collect()
     size = {r["cell"]: r["rows"] for r in cells}
-    regular = [r for r in cells if r["cell"] != ODD_CELL]
+    regular = [r for r in cells if r["cell"] != odd_cell]
     ids = np.array([r["cell"] for r in regular], dtype=int)
     radius = np.array([r["radius"] for r in regular], dtype=float)
     rows_in = np.array([r["rows"] for r in regular], dtype=float)
@@ -91,7 +97,7 @@ def _nearest(donors: DataFrame, receivers: DataFrame, k: int, donor_block: int,
     def visits(vectors: pd.Series) -> pd.Series:
         v = np.stack(vectors.to_numpy())
         holes = np.isnan(v).any(axis=1)
-        d = _root_mean_square(np.where(holes[:, None], 0.0, v), pivots[ids]) if len(ids) else np.zeros((len(v), 0))
+        d = distance(np.where(holes[:, None], 0.0, v), pivots[ids]) if len(ids) else np.zeros((len(v), 0))
         out = []
         for i in range(len(v)):
             if holes[i] or not len(ids):
@@ -102,7 +108,7 @@ def _nearest(donors: DataFrame, receivers: DataFrame, k: int, donor_block: int,
                 enough = np.searchsorted(np.cumsum(rows_in[order]), k)
                 limit = far[order[enough]] if enough < len(order) else np.inf
                 keep = ids[d[i] - radius <= limit * (1 + 1e-9) + 1e-9]
-            out.append([*map(int, keep), *([ODD_CELL] if ODD_CELL in size else [])])
+            out.append([*map(int, keep), *([odd_cell] if odd_cell in size else [])])
         return pd.Series(out)
 
     if not size:
@@ -130,7 +136,7 @@ def _nearest(donors: DataFrame, receivers: DataFrame, k: int, donor_block: int,
             rv = np.stack(receiver["query"].to_numpy())
             step = max(1, 4_000_000 // len(dv))
             for start in range(0, len(rv), step):
-                d = _root_mean_square(rv[start:start + step], dv)
+                d = distance(rv[start:start + step], dv)
                 for i, line in enumerate(d):
                     line = np.where(np.isnan(line), np.inf, line)
                     edge = np.partition(line, min(k, len(line)) - 1)[min(k, len(line)) - 1]

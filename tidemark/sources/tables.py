@@ -106,9 +106,14 @@ def save_copy(df: DataFrame, name: str) -> str:
     return target
 
 
-def append(rows: DataFrame, table: str) -> None:
-    """Add result rows (checks, profiles, tests, contracts, reports) to a stored table."""
-    rows.write.mode("append").saveAsTable(table)
+def append(rows: DataFrame, target: str) -> None:
+    """Add result rows (checks, profiles, tests, contracts, reports) to a stored table, or to a Parquet
+    folder when the target is a path."""
+    writer = rows.write.mode("append")
+    if "/" in target:
+        writer.parquet(target)
+    else:
+        writer.saveAsTable(target)
 
 
 def ingest(spark: SparkSession, path: str, name: str, table: bool = False) -> dict:
