@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 SPACE = r"(?U)\s+"
+MARK = "\ue000"   # a private-use character, which has no meaning in text
 
 
 def trim(c: Column) -> Column:
@@ -17,12 +18,12 @@ def trim(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Capital after every non-letter: `it's a-b` becomes `It'S A-B`."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    capital = F.transform(
-        runs, lambda r: F.concat(F.upper(r.substr(1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))
-    )
-    return F.array_join(capital, "")
+    """Capital after every non-letter: `it's a-b` becomes `It'S A-B`.
+
+    `initcap` starts a word after a space only, so a marked space goes in before each run of letters.
+    """
+    marked = F.regexp_replace(c, r"(?<=\P{L})(?=\p{L})", MARK + " ")
+    return F.replace(F.initcap(marked), F.lit(MARK + " "), F.lit(""))
 
 
 def regex_replace(c: Column, pattern: str, replacement: str = "") -> Column:
@@ -50,13 +51,10 @@ def snake_case(c: Column) -> Column:
 
 def camel_case(c: Column) -> Column:
     """First word lower, the rest capitalised; text without any word stays as it is."""
-    words = F.filter(F.split(F.regexp_replace(c, r"[^a-zA-Z0-9]", " "), r"\s+"), lambda w: w != "")
-    tail = F.transform(
-        F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))),
-        lambda w: F.concat(F.upper(w.substr(1, 1)), F.lower(w.substr(F.lit(2), F.length(w)))),
-    )
-    joined = F.concat(F.lower(F.element_at(words, 1)), F.array_join(tail, ""))
-    return F.when(F.size(words) > 0, joined).otherwise(c)
+    words = trim(F.regexp_replace(c, r"[^a-zA-Z0-9]+", " "))
+    first = F.substring_index(words, " ", 1)
+    rest = F.initcap(words.substr(F.length(first) + 1, F.length(words)))
+    return F.when(words != "", F.concat(F.lower(first), F.replace(rest, F.lit(" "), F.lit("")))).otherwise(c)
 
 
 METHODS = {

@@ -1,4 +1,4 @@
-"""Exploratory analysis: every section reads one shared measurement of the table."""
+"""Exploratory analysis: sections share measurements of the table, each taken once and when first needed."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_double, datetime_columns, numeric_columns, text_columns
-from . import profile, values
+from . import profile, quantiles, values
 
 
 @dataclass
@@ -21,16 +21,26 @@ class Exploration:
     name: str = ""
 
     @cached_property
-    def _measured(self) -> tuple[int, dict]:
-        return profile.measure(self.df)
+    def _moments(self) -> tuple[int, dict]:
+        return profile.moments(self.df)
 
     @property
     def rows(self) -> int:
-        return self._measured[0]
+        return self._moments[0]
 
     @property
     def stats(self) -> dict[str, dict]:
-        return self._measured[1]
+        """Counts and moments per column."""
+        return self._moments[1]
+
+    @cached_property
+    def distinct(self) -> dict[str, int]:
+        return {c: d for c, (d, _) in values.distinct_map(self.df, self.df.columns).items()}
+
+    @cached_property
+    def quartiles(self) -> dict[str, tuple]:
+        wanted = {c: as_double(self.df, c) for c in self.numeric}
+        return quantiles.quantiles(self.df, wanted, [0.25, 0.5, 0.75], {c: self.stats[c]["n"] for c in wanted})
 
     @cached_property
     def numeric(self) -> list[str]:
@@ -50,7 +60,7 @@ class Exploration:
 
     @cached_property
     def outliers(self) -> dict[str, dict]:
-        return count_outliers(self.df, self.stats)
+        return count_outliers(self.df, self.stats, self.quartiles)
 
     @property
     def missing(self) -> int:
@@ -70,13 +80,13 @@ def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], flo
     return {p: None if row[i] is None or math.isnan(row[i]) else row[i] for i, p in enumerate(pairs)}
 
 
-def count_outliers(df: DataFrame, stats: dict[str, dict]) -> dict[str, dict]:
+def count_outliers(df: DataFrame, stats: dict[str, dict], quartiles: dict[str, tuple]) -> dict[str, dict]:
     """IQR (1.5) and z-score (3) outliers per numeric column with at least 3 values: one job."""
     usable = {c: s for c, s in stats.items() if s["numeric"] and s["n"] >= 3}
     exprs, fences = [], {}
     for i, (c, s) in enumerate(usable.items()):
-        width = s["q3"] - s["q1"]
-        low, high = s["q1"] - 1.5 * width, s["q3"] + 1.5 * width
+        q1, _, q3 = quartiles[c]
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         fences[c] = (low, high)
         x = as_double(df, c)
         far = F.abs(x - F.lit(s["mean"])) / F.lit(s["std"]) > 3 if s["std"] else F.lit(False)
@@ -112,18 +122,19 @@ def column_profiles(x: Exploration, k: int = 10) -> DataFrame:
     """One row per column; `top_values` for columns that are not numeric."""
     rows = []
     for c, s in x.stats.items():
-        share = s["distinct"] / s["n"] if s["n"] else None
+        distinct = x.distinct[c]
         line = {"column": c, "dtype": x.df.schema[c].dataType.simpleString(), "null_count": s["nulls"],
-                "null_pct": profile.percent(s["nulls"], x.rows), "unique_count": s["distinct"],
-                "unique_pct": profile.percent(s["distinct"], s["n"])}
+                "null_pct": profile.percent(s["nulls"], x.rows), "unique_count": distinct,
+                "unique_pct": profile.percent(distinct, s["n"])}
         if s["numeric"] and s["n"]:
             skew, kurt = round(s["skew"] or 0.0, 4), round(s["kurtosis"] or 0.0, 4)
-            line |= {"min": s["min"], "max": s["max"], "mean": round(s["mean"], 4), "median": s["median"],
+            q1, median, q3 = x.quartiles[c]
+            line |= {"min": s["min"], "max": s["max"], "mean": round(s["mean"], 4), "median": median,
                      "std": profile.rounded(s["std"], 4) or 0.0, "skewness": skew, "kurtosis": kurt,
-                     "q1": s["q1"], "q3": s["q3"], "iqr": s["q3"] - s["q1"],
+                     "q1": q1, "q3": q3, "iqr": q3 - q1,
                      "distribution_hint": distribution_hint(skew, kurt)}
         elif not s["numeric"]:
-            line["is_categorical"] = share is not None and share < 0.05
+            line["is_categorical"] = bool(s["n"]) and distinct / s["n"] < 0.05
         rows.append(line)
     table = x.frame(rows, "column string, dtype string, null_count bigint, null_pct double, unique_count bigint, "
                           "unique_pct double, min double, max double, mean double, median double, std double, "
@@ -221,13 +232,13 @@ def insights(x: Exploration) -> DataFrame:
     if twin > 5:
         found.append(("warning", "dedup", "", f"{twin:.1f}% duplicate rows detected."))
     for c in x.text:
-        if x.rows and x.stats[c]["distinct"] / x.rows * 100 > 90:
+        if x.rows and x.distinct[c] / x.rows * 100 > 90:
             found.append(("info", "cardinality", c, f"Column '{c}' has very high cardinality — likely an ID field."))
     for (a, b), r in x.pairs.items():
         if r is not None and abs(r) > 0.9:
             found.append(("warning", "multicollinearity", f"{a},{b}", f"Very high correlation between '{a}' and '{b}'."))
-    for c, s in x.stats.items():
-        if s["distinct"] <= 1:
+    for c in x.df.columns:
+        if x.distinct[c] <= 1:
             found.append(("warning", "zero_variance", c, f"Column '{c}' has zero variance."))
     return x.frame(found, "type string, category string, column string, message string")
 

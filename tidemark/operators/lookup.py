@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, value
+from ..sources.scratch import settle
 
 SMALL = 10_000   # statistic rows that may be broadcast
 HOT_SHARE = 1_000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
@@ -32,6 +33,7 @@ def lookup(df: DataFrame, key: str, stats: DataFrame, names: list[str], small: i
     on = col(key) == F.col("__key")
     if stats.limit(small + 1).count() <= small:
         return df.join(F.broadcast(wanted), on, "left").drop("__key")
+    stats = settle(stats)
     total = stats.agg(F.sum("n")).first()[0]
     is_hot = F.col("n") * HOT_SHARE > total
     hot = stats.where(is_hot).select(col(key).alias("__key"), *names)

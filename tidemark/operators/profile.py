@@ -58,8 +58,9 @@ def corrected_kurtosis(g2: float | None, n: int) -> float | None:
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
 
 
-def moments(df: DataFrame, columns: list[str] | None = None) -> tuple[int, dict[str, dict]]:
-    """(row count, per column: nulls, n and for numbers min, max, mean, std, skew, kurtosis) in one job."""
+def moments(df: DataFrame, columns: list[str] | None = None, shape: bool = True) -> tuple[int, dict[str, dict]]:
+    """(row count, per column: nulls, n and for numbers min, max, mean, std) in one job; with `shape` also
+    skew and kurtosis."""
     columns = df.columns if columns is None else columns
     exprs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
@@ -67,8 +68,9 @@ def moments(df: DataFrame, columns: list[str] | None = None) -> tuple[int, dict[
         if is_numeric(df.schema[c].dataType):
             x = as_double(df, c)
             exprs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"),
-                      F.stddev_samp(x).alias(f"std{i}"), F.skewness(x).alias(f"skew{i}"),
-                      F.kurtosis(x).alias(f"kurt{i}")]
+                      F.stddev_samp(x).alias(f"std{i}")]
+            if shape:
+                exprs += [F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}")]
     row = df.agg(*exprs).first()
     out = {}
     for i, c in enumerate(columns):
@@ -76,23 +78,22 @@ def moments(df: DataFrame, columns: list[str] | None = None) -> tuple[int, dict[
         stats = {"nulls": row[f"nulls{i}"], "n": n, "numeric": is_numeric(df.schema[c].dataType)}
         if stats["numeric"]:
             stats |= {k: row[f"{k}{i}"] for k in ("min", "max", "mean", "std")}
-            stats["skew"] = corrected_skew(row[f"skew{i}"], n)
-            stats["kurtosis"] = corrected_kurtosis(row[f"kurt{i}"], n)
+            if shape:
+                stats["skew"] = corrected_skew(row[f"skew{i}"], n)
+                stats["kurtosis"] = corrected_kurtosis(row[f"kurt{i}"], n)
         out[c] = stats
     return row["rows"], out
 
 
-def measure(df: DataFrame, distinct: bool = True, quartiles: bool = True) -> tuple[int, dict[str, dict]]:
-    """The shared pass behind profiles, EDA, readiness and suggestions."""
-    rows, stats = moments(df)
-    if distinct:
-        for c, (d, s) in values.distinct_map(df, df.columns).items():
-            stats[c] |= {"distinct": d, "singletons": s}
-    if quartiles:
-        numeric = {c: as_double(df, c) for c, s in stats.items() if s["numeric"]}
-        found = quantiles.quantiles(df, numeric, [0.25, 0.5, 0.75], {c: stats[c]["n"] for c in numeric})
-        for c, (q1, q2, q3) in found.items():
-            stats[c] |= {"q1": q1, "median": q2, "q3": q3}
+def measure(df: DataFrame) -> tuple[int, dict[str, dict]]:
+    """Counts, moments, distinct values and quartiles of every column."""
+    rows, stats = moments(df, shape=False)
+    for c, (d, _) in values.distinct_map(df, df.columns).items():
+        stats[c]["distinct"] = d
+    numeric = {c: as_double(df, c) for c, s in stats.items() if s["numeric"]}
+    found = quantiles.quantiles(df, numeric, [0.25, 0.5, 0.75], {c: stats[c]["n"] for c in numeric})
+    for c, (q1, q2, q3) in found.items():
+        stats[c] |= {"q1": q1, "median": q2, "q3": q3}
     return rows, stats
 
 

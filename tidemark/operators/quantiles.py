@@ -9,7 +9,7 @@ by a factor of over a thousand, so 10^12 rows take three or four scans, none of
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,7 +27,6 @@ class _Interval:
     inside: int                # rows strictly between
     low: object = None
     high: object = None
-    cuts: tuple = field(default=())
 
     def values(self, c: Column) -> Column:
         keep = c.isNotNull()
@@ -49,6 +48,22 @@ def _clusters(ranks: list[int]) -> list[list[int]]:
     return out
 
 
+def _brackets(df: DataFrame, columns: dict[str, Column], wide: list[_Interval]) -> list[tuple]:
+    """(interval, ranks, a, b): values a <= b that a sketch puts around each cluster of ranks. One sketch
+    serves all clusters of an interval."""
+    slack = 2.0 / ACCURACY
+    sketches, slots = [], []
+    for i, t in enumerate(wide):
+        probs = []
+        for ranks in _clusters(t.ranks):
+            slots.append((i, len(probs), ranks))
+            probs += [max(0.0, (ranks[0] - t.below) / t.inside - slack),
+                      min(1.0, (ranks[-1] - t.below + 1) / t.inside + slack)]
+        sketches.append(F.percentile_approx(t.values(columns[t.column]), probs, ACCURACY).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    return [(wide[i], ranks, row[f"s{i}"][at], row[f"s{i}"][at + 1]) for i, at, ranks in slots]
+
+
 def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]],
                      counts: dict[str, int], sort_limit: int = SORT_LIMIT) -> dict[str, dict[int, object]]:
     """Values at 0-based ranks among the non-null values of each column expression.
@@ -61,49 +76,34 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str,
     while any(t.inside > sort_limit for t in todo):
         wide, todo = ([t for t in todo if t.inside > sort_limit],
                       [t for t in todo if t.inside <= sort_limit])
-        parts = [_Interval(t.column, c, t.below, t.inside, t.low, t.high)
-                 for t in wide for c in _clusters(t.ranks)]
-        slack = 2.0 / ACCURACY
-        sketches = []
-        for i, t in enumerate(parts):
-            first = (t.ranks[0] - t.below) / t.inside - slack
-            last = (t.ranks[-1] - t.below + 1) / t.inside + slack
-            sketches.append(F.percentile_approx(
-                t.values(columns[t.column]), [max(0.0, first), min(1.0, last)], ACCURACY).alias(f"a{i}"))
-        row = df.agg(*sketches).first()
-        tallies = []
-        for i, t in enumerate(parts):
-            a, b = row[f"a{i}"]
-            t.cuts = (a, b)
-            v = t.values(columns[t.column])
-            tallies += [F.count_if(v < F.lit(a)).alias(f"lt{i}"), F.count_if(v == F.lit(a)).alias(f"ea{i}"),
-                        F.count_if((v > F.lit(a)) & (v < F.lit(b))).alias(f"in{i}"),
-                        F.count_if((v == F.lit(b)) & (v > F.lit(a))).alias(f"eb{i}")]
-        row = df.agg(*tallies).first()
-        for i, t in enumerate(parts):
-            a, b = t.cuts
-            edge1 = t.below + row[f"lt{i}"]
-            edge2 = edge1 + row[f"ea{i}"]
-            edge3 = edge2 + row[f"in{i}"]
-            edge4 = edge3 + row[f"eb{i}"]
-            groups: dict[str, list[int]] = {"under": [], "between": [], "over": []}
-            for r in t.ranks:
-                if r < edge1:
-                    groups["under"].append(r)
-                elif r < edge2:
+        brackets = _brackets(df, columns, wide)
+        exprs = []
+        for i, (t, _, a, b) in enumerate(brackets):
+            c = columns[t.column]
+            exprs += [F.count_if(c < F.lit(a)).alias(f"la{i}"), F.count_if(c == F.lit(a)).alias(f"ea{i}"),
+                      F.count_if(c < F.lit(b)).alias(f"lb{i}"), F.count_if(c == F.lit(b)).alias(f"eb{i}")]
+        row = df.agg(*exprs).first()
+        for i, (t, ranks, a, b) in enumerate(brackets):
+            from_a, from_b = row[f"la{i}"], row[f"lb{i}"]
+            past_a, past_b = from_a + row[f"ea{i}"], from_b + row[f"eb{i}"]
+            under, between, over = [], [], []
+            for r in ranks:
+                if r < from_a:
+                    under.append(r)
+                elif r < past_a:
                     found[t.column][r] = a
-                elif r < edge3:
-                    groups["between"].append(r)
-                elif r < edge4:
+                elif r < from_b:
+                    between.append(r)
+                elif r < past_b:
                     found[t.column][r] = b
                 else:
-                    groups["over"].append(r)
-            if groups["under"]:
-                todo.append(_Interval(t.column, groups["under"], t.below, edge1 - t.below, t.low, a))
-            if groups["between"]:
-                todo.append(_Interval(t.column, groups["between"], edge2, edge3 - edge2, a, b))
-            if groups["over"]:
-                todo.append(_Interval(t.column, groups["over"], edge4, t.below + t.inside - edge4, b, t.high))
+                    over.append(r)
+            if under:
+                todo.append(_Interval(t.column, under, t.below, from_a - t.below, t.low, a))
+            if between:
+                todo.append(_Interval(t.column, between, past_a, from_b - past_a, a, b))
+            if over:
+                todo.append(_Interval(t.column, over, past_b, t.below + t.inside - past_b, b, t.high))
 
     if todo:
         picks, names = [], []

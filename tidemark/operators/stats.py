@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_double, numeric_columns, value
 from ..functions.distributions import (chi2_upper, f_upper, kolmogorov_upper, normal_two_sided, t_two_sided)
+from ..sources.scratch import settle
 from . import ordering, quantiles
 from .lookup import lookup
 from .profile import corrected_kurtosis, corrected_skew
@@ -236,8 +237,8 @@ def spearman(df: DataFrame, config: dict) -> dict:
     """Rank correlation. Ranks belong to distinct values; pairs are counted before they are looked up."""
     a, b = _first(config), config.get("column2", "")
     _need(df, a, b, why="Provide column1 and column2")
-    pairs = df.select(as_double(df, a).alias("a"), as_double(df, b).alias("b")).dropna() \
-        .groupBy("a", "b").agg(F.count("*").alias("w"))
+    pairs = settle(df.select(as_double(df, a).alias("a"), as_double(df, b).alias("b")).dropna()
+                   .groupBy("a", "b").agg(F.count("*").alias("w")))
     ranked = pairs
     for c in ("a", "b"):
         sizes = pairs.groupBy(c).agg(F.sum("w").alias("size"), F.count("*").alias("n"))

@@ -31,8 +31,7 @@ def from_data(df: DataFrame) -> DataFrame:
         out.append(("dedup", "medium", f"Remove {x.duplicates} duplicate rows", [], "exact",
                     f"{x.duplicates} duplicate rows detected ({round(x.duplicates / x.rows * 100, 1)}% of data)"))
     wild = [c for c, o in x.outliers.items()
-            if x.stats[c]["distinct"] > 2 and o["n"] > 10 and x.stats[c]["q3"] != x.stats[c]["q1"]
-            and o["iqr"] > o["n"] * 0.05]
+            if o["iqr"] > o["n"] * 0.05 and o["n"] > 10 and x.quartiles[c][0] != x.quartiles[c][2] and x.distinct[c] > 2]
     if wild:
         out.append(("outlier", "medium", "Handle outliers", wild[:5], "iqr_cap",
                     f"Outliers detected in: {', '.join(wild[:5])}"))
@@ -109,7 +108,7 @@ def from_profile(columns: list[dict], checks: list[dict], row_count: int = 0, co
 def from_profile_frame(df: DataFrame, checks: list[dict], limit: int = 8) -> DataFrame:
     """`from_profile` on a fresh measurement of a table."""
     x = Exploration(df)
-    columns = [{"name": c, "type": df.schema[c].dataType.simpleString(), "unique": s["distinct"], "count": x.rows,
+    columns = [{"name": c, "type": df.schema[c].dataType.simpleString(), "unique": x.distinct[c], "count": x.rows,
                 "null_pct": s["nulls"] / x.rows * 100 if x.rows else 0, "skew": s.get("skew")}
                for c, s in x.stats.items()]
     found = from_profile(columns, checks, x.rows, len(df.columns), limit)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import as_number, col, is_numeric, value
+from ..functions.columns import value
 
 
 def plain(df: DataFrame, name: str) -> Column:
@@ -13,23 +13,38 @@ def plain(df: DataFrame, name: str) -> Column:
     return c + F.lit(0.0) if df.schema[name].dataType.typeName() in ("double", "float") else c
 
 
+def _cell(df: DataFrame, name: str) -> Column:
+    """The value in the slot of its kind, so that numbers are grouped as numbers and not as text."""
+    dtype = df.schema[name].dataType
+    c = plain(df, name)
+    whole, real, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dtype, T.IntegralType):
+        whole = c.cast("long")
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        real = c.cast("double")
+    else:
+        text = c.cast("string")
+    return F.struct(whole.alias("whole"), real.alias("real"), text.alias("text"))
+
+
 def value_counts(df: DataFrame, columns: list[str], keep_null: bool = False) -> DataFrame:
     """Rows (column, value as text, number, n): how often each value occurs in each column.
 
     All columns share one aggregation; rows are combined before the shuffle, so a value that fills a
     third of the table costs one row per task. `number` orders numeric values by size.
     """
-    cells = []
-    for name in columns:
-        text = plain(df, name).cast("string")
-        number = as_number(df, name).cast("double") if is_numeric(df.schema[name].dataType) \
-            else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(name).alias("column"), text.alias("value"),
-                              (number + F.lit(0.0)).alias("number")))
-    tall = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    cells = df.select(*[_cell(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    tall = cells.unpivot([], cells.columns, "slot", "cell").select(
+        "slot", F.col("cell.whole").alias("whole"), F.col("cell.real").alias("real"), F.col("cell.text").alias("text"))
     if not keep_null:
-        tall = tall.where(F.col("value").isNotNull())
-    return tall.groupBy("column", "value", "number").agg(F.count("*").alias("n"))
+        tall = tall.where("whole is not null or real is not null or text is not null")
+    counted = tall.groupBy("slot", "whole", "real", "text").agg(F.count("*").alias("n"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("slot", 2, 9).cast("int") + 1)
+    decimals = [f"c{i}" for i, c in enumerate(columns) if isinstance(df.schema[c].dataType, T.DecimalType)]
+    number = F.coalesce("real", F.col("whole").cast("double"),
+                        F.when(F.col("slot").isin(decimals), F.col("text").try_cast("double")))
+    value = F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string"))
+    return counted.select(name.alias("column"), value.alias("value"), number.alias("number"), "n")
 
 
 def top_values(counts: DataFrame, k: int) -> DataFrame:

@@ -184,7 +184,7 @@ def test_mann_whitney(spark, sf):
     return numbers("mann_whitney", load(spark, sf, "lineitem"), "statistic", column="l_quantity", group_column="l_linestatus")
 
 
-@query("test_pearson", """SELECT pround(corr(l_quantity, l_extendedprice), 6) AS correlation, count(*) AS n, 'positive' AS direction,
+@query("test_pearson", """SELECT pround(corr(l_quantity, l_extendedprice), 6) AS correlation, count(*) AS n, CASE WHEN corr(l_quantity, l_extendedprice) > 0 THEN 'positive' ELSE 'negative' END AS direction,
     CASE WHEN abs(corr(l_quantity, l_extendedprice)) > 0.9 THEN 'very_strong' WHEN abs(corr(l_quantity, l_extendedprice)) > 0.7 THEN 'strong' WHEN abs(corr(l_quantity, l_extendedprice)) > 0.5 THEN 'moderate'
       WHEN abs(corr(l_quantity, l_extendedprice)) > 0.3 THEN 'weak' ELSE 'very_weak' END AS strength FROM lineitem""")
 def test_pearson(spark, sf):
