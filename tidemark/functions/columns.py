@@ -147,3 +147,12 @@ def json_safe(df: DataFrame, name: str = "json") -> DataFrame:
             c = F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
         safe.append(c.alias(f.name))
     return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias(name))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values; null where one of them does not vary.
+
+    `corr` itself divides by zero there, which is an error in ANSI mode.
+    """
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

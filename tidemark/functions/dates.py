@@ -38,7 +38,14 @@ def java_pattern(fmt: str) -> str:
             out.append(DIRECTIVES.get(fmt[i + 1], "'" + fmt[i + 1] + "'"))
             i += 2
             continue
-        out.append("'" + ch + "'" if ch.isalpha() else ("''" if ch == "'" else ch))
+        if ch.isalpha():
+            end = i
+            while end < len(fmt) and fmt[end].isalpha():
+                end += 1
+            out.append("'" + fmt[i:end] + "'")
+            i = end
+            continue
+        out.append("''" if ch == "'" else ch)
         i += 1
     return "".join(out)
 

@@ -9,7 +9,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double, datetime_columns, numeric_columns, text_columns
+from ..functions.columns import as_double, correlation, datetime_columns, numeric_columns, text_columns
 from . import profile, quantiles, values
 
 
@@ -75,7 +75,7 @@ def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], flo
     pairs = list(combinations(columns, 2))
     if not pairs:
         return {}
-    row = df.agg(*[F.corr(as_double(df, a), as_double(df, b)).alias(f"c{i}")
+    row = df.agg(*[correlation(as_double(df, a), as_double(df, b)).alias(f"c{i}")
                    for i, (a, b) in enumerate(pairs)]).first()
     return {p: None if row[i] is None or math.isnan(row[i]) else row[i] for i, p in enumerate(pairs)}
 

@@ -9,6 +9,7 @@ by a factor of over a thousand, so 10^12 rows take three or four scans, none of
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,7 +51,11 @@ def _clusters(ranks: list[int]) -> list[list[int]]:
 
 def _brackets(df: DataFrame, columns: dict[str, Column], wide: list[_Interval]) -> list[tuple]:
     """(interval, ranks, a, b): values a <= b that a sketch puts around each cluster of ranks. One sketch
-    serves all clusters of an interval."""
+    serves all clusters of an interval.
+
+    The sketch works on doubles. Whole numbers in a narrow interval are counted from its lower end, which
+    is exact; in a wide one the bracket is widened by what a double may be off, so it always closes in.
+    """
     slack = 2.0 / ACCURACY
     sketches, slots = [], []
     for i, t in enumerate(wide):
@@ -59,9 +64,23 @@ def _brackets(df: DataFrame, columns: dict[str, Column], wide: list[_Interval])
             slots.append((i, len(probs), ranks))
             probs += [max(0.0, (ranks[0] - t.below) / t.inside - slack),
                       min(1.0, (ranks[-1] - t.below + 1) / t.inside + slack)]
-        sketches.append(F.percentile_approx(t.values(columns[t.column]), probs, ACCURACY).alias(f"s{i}"))
+        v = t.values(columns[t.column])
+        sketches.append(F.percentile_approx(v - F.lit(t.low) if _narrow(t) else v, probs, ACCURACY).alias(f"s{i}"))
     row = df.agg(*sketches).first()
-    return [(wide[i], ranks, row[f"s{i}"][at], row[f"s{i}"][at + 1]) for i, at, ranks in slots]
+    out = []
+    for i, at, ranks in slots:
+        t, (a, b) = wide[i], row[f"s{i}"][at:at + 2]
+        if _narrow(t):
+            a, b = a + t.low, b + t.low
+        elif isinstance(a, int):
+            a, b = a - int(2 * math.ulp(float(a))), b + int(2 * math.ulp(float(b)))
+            a, b = max(a, -2**63), min(b, 2**63 - 1)
+        out.append((t, ranks, a, b))
+    return out
+
+
+def _narrow(t: _Interval) -> bool:
+    return isinstance(t.low, int) and isinstance(t.high, int) and t.high - t.low < 2**53
 
 
 def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]],

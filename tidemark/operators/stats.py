@@ -10,7 +10,7 @@ import math
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double, numeric_columns, value
+from ..functions.columns import as_double, correlation, numeric_columns, value
 from ..functions.distributions import (chi2_upper, f_upper, kolmogorov_upper, normal_two_sided, t_two_sided)
 from ..sources.scratch import settle
 from . import ordering, quantiles
@@ -224,7 +224,7 @@ def pearson(df: DataFrame, config: dict) -> dict:
     a, b = _first(config), config.get("column2", "")
     _need(df, a, b, why="Provide column1 and column2")
     x, y = as_double(df, a), as_double(df, b)
-    r, n = df.agg(F.corr(x, y), F.count_if(x.isNotNull() & y.isNotNull())).first()
+    r, n = df.agg(correlation(x, y), F.count_if(x.isNotNull() & y.isNotNull())).first()
     out = _correlation_result(r, n)
     size = abs(out["correlation"])
     labels = [("very_strong", 0.9), ("strong", 0.7), ("moderate", 0.5), ("weak", 0.3)]
