@@ -44,17 +44,25 @@ def squeeze_space(c: Column) -> Column:
     return trim(F.regexp_replace(c, SPACE, " "))
 
 
+def _words(c: Column) -> Column:
+    """Runs of ASCII letters and digits, one space apart."""
+    return F.trim(F.regexp_replace(c, r"[^a-zA-Z0-9]+", " "))
+
+
 def snake_case(c: Column) -> Column:
-    words = trim(F.regexp_replace(c, r"[^a-zA-Z0-9]", " "))
-    return F.lower(F.regexp_replace(words, r"\s+", "_"))
+    return F.lower(F.replace(_words(c), F.lit(" "), F.lit("_")))
 
 
 def camel_case(c: Column) -> Column:
     """First word lower, the rest capitalised; text without any word stays as it is."""
-    words = trim(F.regexp_replace(c, r"[^a-zA-Z0-9]+", " "))
-    first = F.substring_index(words, " ", 1)
-    rest = F.initcap(words.substr(F.length(first) + 1, F.length(words)))
-    return F.when(words != "", F.concat(F.lower(first), F.replace(rest, F.lit(" "), F.lit("")))).otherwise(c)
+
+    def joined(words: Column) -> Column:
+        first = F.substring_index(words, " ", 1)
+        rest = F.initcap(words.substr(F.length(first) + 1, F.length(words)))
+        return F.when(words != "", F.concat(F.lower(first), F.replace(rest, F.lit(" "), F.lit("")))).otherwise(c)
+
+    # A one-element array holds the words, so that they are made once per row.
+    return F.element_at(F.transform(F.array(_words(c)), joined), 1)
 
 
 METHODS = {
