@@ -2,8 +2,8 @@
 
 A document's worth is a weighted sum of features of its whole text. The weights come from preference pairs, a document
 labelled good against one labelled bad, by logistic loss on the difference of their features. The cut between keep
-and reject is a quantile of the scores of the labelled documents: at the share of bad labels, in the middle between the
-scores on both sides. A score is the logistic function of the worth's distance from the cut, so 0.5 is the cut.
+and reject is a quantile of the scores of the labelled documents: the level at which the fewest labels are on the
+wrong side (of several, that in the widest gap), in the middle between the scores on both sides. A score is the logistic function of the worth's distance from the cut, so 0.5 is the cut.
 
 Defined cases: a null text is empty, and a text without words has the score 0; repeated rows are scored each; labels that
 are null are not used, and of several labels of one document the largest counts; with no labelled pair every text
@@ -100,9 +100,13 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     spread = x.std(axis=0) + 1e-3
     difference = (x[draw.choice(good, PAIRS)] - x[draw.choice(bad, PAIRS)]) / spread
     weights = logistic(difference, np.ones(PAIRS), ridge=PAIRS * 1e-4) / spread
-    scores = np.sort(x @ weights)
-    k = len(bad)  # the quantile at the share of bad documents, between two scores
-    cut = (scores[k - 1] + scores[min(k, len(scores) - 1)]) / 2
+    order = np.argsort(x @ weights, kind="stable")
+    scores, bad_below = (x @ weights)[order], np.append(0, np.cumsum(y[order] == 0))
+    errors = (len(bad) - bad_below) + (np.arange(len(y) + 1) - bad_below)
+    gaps = np.r_[0.0, np.diff(scores), 0.0]
+    errors = np.where(gaps > 0, errors, len(y) + 1)  # a quantile lies between two scores
+    level = max(np.flatnonzero(errors == errors.min()), key=lambda k: gaps[k])
+    cut = (scores[max(level - 1, 0)] + scores[min(level, len(scores) - 1)]) / 2
     steep = logistic(np.c_[x @ weights - cut], y.astype(float), ridge=1e-2)[0]
     return Model(weights, float(cut), float(max(steep, 1e-3)))
 

@@ -5,7 +5,8 @@ targets ("you", "sie", ...), negations and words of reported speech (fixed lists
 clauses, and everything else. Five small transducers read the classes: one weighs insults, one threats, one
 remembers a target, one a negation, one reported speech. `compose` multiplies them into one machine, whose state at
 the end of a clause says what the clause holds: an insult or a threat, aimed, negated or reported. A clause counts by
-its state and the largest weight of an insult in it; how much each kind of clause says is fitted on labelled documents.
+its state and the largest weight of an insult in it; how much each kind of clause, and how many there are in a text of
+some length, says is fitted on labelled documents.
 
 Defined cases: a null text is empty; a text without matched clauses gets the fitted base score; repeated rows are
 scored each; null labels are not used, of several labels of one document the largest counts; with no labelled
@@ -73,7 +74,7 @@ def grammar() -> Transducer:
 
 
 MACHINE = grammar()
-FEATURES = ["plain", "aimed", "negated", "reported", "threat", "aimed_threat", "clauses"]
+FEATURES = ["plain", "aimed", "negated", "reported", "threat", "aimed_threat", "clauses", "weight", "second", "length"]
 INNER = re.compile(r"\w+")
 
 
@@ -103,7 +104,7 @@ def clause_features(text: str, memo: Memo) -> list[float]:
     out = [0.0] * len(FEATURES)
     if not any(k & 7 in (INSULT, THREAT) for k, _ in set(got)):
         return out
-    state, most = 0, 0.0
+    state, most, weights = 0, 0.0, []
     for k, w in [*got, (8, 0.0)]:
         if k & 7:
             state = MACHINE.step[state][k & 7]
@@ -113,9 +114,11 @@ def clause_features(text: str, memo: Memo) -> list[float]:
             if insult or threat:
                 name = 2 if negated else 3 if reported else (1 if target else 0) if insult else 5 if target else 4
                 out[name] = max(out[name], most if insult else 1.0)
-                out[6] += bool(insult)
+                if insult:
+                    weights.append(most)
             state, most = 0, 0.0
-    out[6] = float(np.log1p(out[6]))
+    weights.sort()
+    out[6:] = [float(np.log1p(len(weights))), float(np.log1p(sum(weights))), weights[-2] if len(weights) > 1 else 0.0, float(np.log1p(len(got))) / 10]
     return out
 
 
