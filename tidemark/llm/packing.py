@@ -13,15 +13,18 @@ apart by doc_id, then piece and checksum; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Memo, map_rows, settle, text_of
+from .common import map_rows, settle, text_of
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -29,36 +32,93 @@ TOKENIZER = "word_bpe_49k.json"
 WORDS = re.compile(r"[^ \n\t\r]+")
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ROWS_PER_BUCKET = 100_000
-
-
-def encoder(path: str | None):
-    """text -> bytes of its ids, little-endian unsigned 32-bit, without the end id."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-    memo = Memo(lambda word: np.array(tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-
-    def encode(text: str) -> bytes:
-        memo.trim()
-        return b"".join(map(memo.__getitem__, WORDS.findall(text)))
-    return encode
+#: Words in one generation of the memo.
+GENERATION = 400_000
+
+
+def letters_only(word: str) -> bool:
+    """Letters that are still letters only after the tokenizer's normalization (NFC, lower case)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+class Encoder:
+    """Ids of texts as bytes (little-endian unsigned 32-bit, without the end id), by way of a memo of words.
+
+    Words that are new to a task are encoded together: those of letters only as one text, whose ids fall apart at the ids that
+    end a word. A word of letters with one mark behind it is the word and the mark, since the tokenizer never joins
+    them. The memo has two generations, so frequent words stay while memory is bounded."""
+
+    def __init__(self, path: str | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        young, old = self.young, self.old
+        cores: dict[str, tuple[str, str]] = {}
+        for word in words:
+            if word in old:
+                young[word] = old[word]
+                continue
+            core, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" and letters_only(word[:-1]) else (word, "")
+            cores[word] = core.lower() if core.isascii() and core.isalpha() else core, tail
+        new = {part for pair in cores.values() for part in pair if part and part not in young and part not in old}
+        letters = [w for w in new if letters_only(w)]
+        ids = np.array(self.tok.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1).tolist() if len(ids) else [0]
+        if len(cuts) != len(letters) + 1:  # some letters are joined or dropped by the normalizer: one by one then
+            letters, cuts = [], []
+        data = ids.tobytes()
+        for word, start, end in zip(letters, cuts, cuts[1:]):
+            young[word] = data[4 * start:4 * end]
+        for word in new.difference(letters):
+            young[word] = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        for word, (core, tail) in cores.items():
+            young[word] = b"".join(young[p] if p in young else old[p] for p in (core, tail) if p)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = list(map(WORDS.findall, texts))
+        if len(self.young) > GENERATION:
+            self.young, self.old = {}, self.young
+        self.learn(set().union(*split).difference(self.young))
+        return [b"".join(map(self.young.__getitem__, words)) for words in split]
+
+
+@lru_cache(1)
+def encoder_of(path: str | None) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
+def stretches(ids: list, texts: list[str], chars: int = 1_000_000):
+    """The rows in stretches of about so many characters."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= chars or k == len(texts) - 1:
+            yield ids[start:k + 1], texts[start:k + 1]
+            start, size = k + 1, 0
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document."""
     def make():
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
 
         def rows(ids, texts):
-            for i, t in zip(ids, texts):
-                data = encode(t) + end
-                for k in range(0, len(data), 4 * capacity):
-                    part = data[k:k + 4 * capacity]
-                    yield i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)
+            for some_ids, some in stretches(ids, texts):
+                for i, data in zip(some_ids, encode(some)):
+                    data += end
+                    for k in range(0, len(data), 4 * capacity):
+                        part = data[k:k + 4 * capacity]
+                        yield i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)
         return rows
 
     return map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), make, SCHEMA)
