@@ -92,7 +92,7 @@ def judge_by_joins(urls: DataFrame, rules: DataFrame, url: str, default: str) ->
     and path prefix, so both sides are shuffled and equal urls are judged once. Only the lengths that paths of
     rules have reach the driver."""
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    rest = F.element_at(F.split(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), "://", 2), 2)
+    rest = F.try_element_at(F.split(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), "://", 2), F.lit(2))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     kept = [c for c in urls.columns if c not in RESULTS]
