@@ -62,8 +62,8 @@ def assemble(conversations: DataFrame, path: str | None = None, learn: str = "as
 
         def rows(conv, turn, role, text):
             role, text = [escape(r) for r in role], [escape(t) for t in text]
-            heads = [e.ids for e in tok.encode_batch(role, add_special_tokens=False)]
-            bodies = [e.ids for e in tok.encode_batch(text, add_special_tokens=False)]
+            heads = [e.ids for e in tok.encode_batch_fast(role, add_special_tokens=False)]
+            bodies = [e.ids for e in tok.encode_batch_fast(text, add_special_tokens=False)]
             for c, t, r, x, head, body in zip(conv, turn, role, text, heads, bodies):
                 ids = [start, *head, sep, *body, end]
                 steps = np.zeros(len(ids) + 1, np.int8)

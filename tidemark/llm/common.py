@@ -17,6 +17,8 @@ __all__ = ["Memo", "connected", "fold", "grouped", "load", "map_rows", "settle",
 
 #: Entries of a per-task word memo before it starts anew, so that memory stays bounded.
 MEMO_ENTRIES = 400_000
+#: Bytes of input that become Python objects at once.
+SLICE_BYTES = 2_000_000
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,16 +57,18 @@ def arrow_schema(spark_schema: str | StructType) -> pa.Schema:
 
 
 def map_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """`make()` runs once per task and returns a function from a batch's columns (as lists) to rows of the
-    schema; the rows of one batch become one batch of output."""
+    """`make()` runs once per task and returns a function from columns (as lists) to rows of the schema. It gets
+    the rows of a batch in slices of about SLICE_BYTES, each of which becomes one batch of output."""
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = make()
         for batch in batches:
-            rows = list(rows_of(*[c.to_pylist() for c in batch.columns]))
-            columns = zip(*rows) if rows else [[] for _ in target]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
+            for start in range(0, batch.num_rows, step):
+                rows = list(rows_of(*[c.to_pylist() for c in batch.slice(start, step).columns]))
+                columns = zip(*rows) if rows else [[] for _ in target]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 
     return df.mapInArrow(run, schema)
 
