@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from decimal import Decimal
+
 import random
 
 import numpy as np
@@ -72,7 +75,7 @@ def test_fill(skewed, per_range, forward, keys):
 
 def test_ranges_split_ties_and_nulls(skewed):
     df, _ = skewed
-    sizes = [r["count"] for r in ordering.with_ranges(df, ["o", "id"], 100).groupBy("__r1", "__r2").count().collect()]
+    sizes = [r["count"] for r in ordering.with_ranges(df, ["o", "id"], 100).groupBy("__r").count().collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 300
 
 
@@ -144,3 +147,32 @@ def test_neighbours_equal_brute_force(spark, blocks):
             d = np.where(shared == 0, np.inf, np.sqrt(np.nansum(gaps, 0) / shared))
         near = [y for away, y in sorted(zip(d, donors.y)) if np.isfinite(away)][:5]
         assert got[r.id] == pytest.approx(np.mean(near) if near else donors.y.mean())
+
+
+ORDER_KEYS = {
+    "text with a shared prefix": ("string", lambda k: f"https://example.org/a/long/common/prefix/{k:05d}"),
+    "long past 2^53": ("long", lambda k: 2**60 + k), "decimal": ("decimal(30,10)", lambda k: Decimal(k) / 7 + Decimal(10) ** 18),
+    "NaN and infinities": ("double", lambda k: float("nan") if k > 280 else float("-inf") if k < 5 else k / 3),
+}
+
+
+@pytest.mark.parametrize("kind", ORDER_KEYS)
+@pytest.mark.parametrize("per_range", [1000, 40, 7])
+def test_order_is_the_same_at_any_range_size(spark, kind, per_range):
+    dtype, make = ORDER_KEYS[kind]
+    draw = random.Random(8)
+    rows = [(k, None if k < 9 else make(k // 2), None if draw.random() < 0.4 or k < 20 else float(draw.randrange(9))) for k in range(300)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, f"id int, o {dtype}, v double")
+    rows.sort(key=lambda r: r[0])
+    order = ["o", "id"]
+    assert [r["row_number"] for r in ordering.row_numbers(df, order, rows_per_range=per_range).orderBy("id").collect()] == list(range(1, 301))
+    sums, last, total = [], [], None
+    for _, _, v in rows:
+        total = total if v is None else (total or 0.0) + v
+        last.append(v if v is not None else last[-1] if last else None)
+        sums.append(total)
+    assert [r["running"] for r in ordering.running_sum(df, "v", order, rows_per_range=per_range).orderBy("id").collect()] == sums
+    assert [r["v"] for r in ordering.fill(df, ["v"], order, rows_per_range=per_range).orderBy("id").collect()] == last
+    if per_range == 7:
+        assert ordering.with_ranges(df, order, per_range).select("__r").distinct().count() > 20

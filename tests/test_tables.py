@@ -151,3 +151,17 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
 def test_scratch_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or scratch.shared_dir(spark) == named
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM Secret", "SELECT * FROM range(1) a, secret", "WITH x AS (TABLE secret) SELECT * FROM x", "SELECT * FROM text.`/etc/hostname`",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT (SELECT max(id) FROM spark_catalog.default.secret)",
+    "SELECT 1 WHERE EXISTS (SELECT 1 FROM secret)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM parquet.`/tmp/x`", "SELECT 1; DROP TABLE t"])
+def test_guard_reads_the_plan(spark, text):
+    with pytest.raises(sql.NotAllowed):
+        sql.guard(spark, text, {"secret"})
+
+
+def test_exactly_the_limit_is_not_truncated(spark):
+    spark.range(5).createOrReplaceTempView("five")
+    assert not sql.query_rows(spark, "SELECT * FROM five", limit=5)["truncated"] and sql.query_rows(spark, "SELECT * FROM five", limit=4)["truncated"]

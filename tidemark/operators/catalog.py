@@ -29,14 +29,15 @@ def failed_checks(checks: DataFrame, rules: DataFrame, datasets: DataFrame, tabl
 
 
 def score_history(checks: DataFrame, rules: DataFrame, datasets: DataFrame, tables: DataFrame,
-                  oldest: int = 100) -> DataFrame:
+                  oldest: int | None = None) -> DataFrame:
     """Scores of every table, oldest first, by the join over dataset ids."""
     d = datasets.select(F.col("id").alias("dataset_key"), F.col("name").alias("table_name"))
     t = tables.select(F.col("id").alias("table_id"), F.col("name").alias("table_name"))
     r = rules.select(F.col("id").alias("rule_id"), F.col("dataset_id").alias("dataset_key"))
     hits = checks.select("id", "rule_id", "score", "created_at").join(r, "rule_id").join(d, "dataset_key").join(t, "table_name")
     order = W.partitionBy("table_id").orderBy("created_at", "id")
-    return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= oldest) \
+    placed = hits.withColumn("position", F.row_number().over(order))
+    return (placed if oldest is None else placed.where(F.col("position") <= oldest)) \
         .select("table_id", "position", "created_at", "score")
 
 

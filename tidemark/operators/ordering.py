@@ -1,83 +1,30 @@
 """Ordered operators over whole tables: row numbers, running sums, forward and backward fill.
 
 A window without keys, or with a key that holds a third of the rows, sorts all of that in one task.
-Here the order key is first cut into ranges of similar size, given as literal cut points so that every
-job and every retry puts a row in the same range. The window runs per (keys, range), and what a range
-needs from the ranges before it comes from one small row per (keys, range).
+Here the rows are first range-partitioned by the order keys themselves (and by what orders their ties), as many
+ranges as the data needs; the range of each row is settled, so that every later job sees the same. The window
+runs per (keys, range), and what a range needs from the ranges before it comes from one small row per
+(keys, range). Nulls come first and NaN last, with one range as with many.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import as_number, col, is_datetime, is_numeric, is_text
-from ..functions.dates import micros
+from ..functions.columns import col
+from ..sources.scratch import settle
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4_096
-
-
-def sort_number(df: DataFrame, name: str) -> Column:
-    """A double that never falls as the column rises; equal doubles are put in order by the window."""
-    dtype = df.schema[name].dataType
-    if is_numeric(dtype):
-        return as_number(df, name).cast("double")
-    if is_datetime(dtype):
-        return micros(col(name).cast("timestamp_ntz")).cast("double")
-    if is_text(dtype):
-        head = F.rpad(F.hex(F.substring(F.encode(col(name), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.lit(0.0)
-
-
-def _cut(df: DataFrame, number: str, splits: list[float], out: str) -> DataFrame:
-    edges = [float("-inf"), *splits, float("inf")]
-    cut = Bucketizer(splits=edges, inputCol=number, outputCol=out, handleInvalid="keep").transform(df)
-    return cut.withColumn(out, F.when(F.col(number).isNull(), -1).otherwise(F.col(out).cast("int")))
 
 
 def with_ranges(df: DataFrame, order_by: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add `__r1`, `__r2`: range numbers that rise with `order_by`.
-
-    A value of the first key that fills whole ranges is split further by the second key.
-    """
-    zero = df.withColumn("__r1", F.lit(0)).withColumn("__r2", F.lit(0))
-    rows = df.count()
-    n = min(MAX_RANGES, -(-rows // rows_per_range))
+    """Add `__r`: range numbers that rise with `order_by`. Rows that tie in all order keys are parted by the other
+    columns, so only equal rows have to stay together."""
+    n = -(-df.count() // rows_per_range)
     if n <= 1:
-        return zero
-    numbered = df.withColumn("__o", sort_number(df, order_by[0]))
-    probs = [i / n for i in range(1, n)]
-    cuts = numbered.agg(F.percentile_approx("__o", probs, 20 * n)).first()[0] or []
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    splits = sorted(set(cuts) | {math.nextafter(v, math.inf) for v in hot})
-    out = _cut(numbered, "__o", splits, "__r1").drop("__o")
-    index = {splits.index(v) + 1: j for j, v in enumerate(hot)}
-    nulls = out.where("__r1 = -1").limit(rows_per_range + 1).count()
-    if nulls > rows_per_range:
-        index[-1] = len(hot)
-    if not index or len(order_by) < 2:
-        return out.withColumn("__r2", F.lit(0))
-
-    place = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])[F.col("__r1")]
-    second = sort_number(df, order_by[1])
-    tied = out.withColumn("__hot", place).withColumn("__s", F.when(F.col("__hot").isNotNull(), second))
-    low, high = tied.agg(F.min("__s"), F.max("__s")).first()
-    if low is None or low == high:
-        return out.withColumn("__r2", F.lit(0))
-    scaled = (F.col("__s") - F.lit(low)) / F.lit((high - low) * 1.000001)
-    tied = tied.withColumn("__s", F.col("__hot") + scaled)
-    inner = tied.where("__hot is not null").groupBy("__hot").agg(
-        F.percentile_approx("__s", probs, 20 * n).alias("cuts"), F.count("*").alias("n"))
-    points: set[float] = set()
-    for row in inner.collect():
-        pieces = max(1, -(-row["n"] // rows_per_range))
-        step = max(1, n // pieces)
-        points |= {float(row["__hot"])} | set((row["cuts"] or [])[step - 1::step])
-    return _cut(tied, "__s", sorted(points), "__r2").drop("__s", "__hot")
+        return df.withColumn("__r", F.lit(0))
+    parted = df.repartitionByRange(n, *_tie_order(df, order_by))
+    return settle(parted.withColumn("__r", F.spark_partition_id()))
 
 
 def _keys(df: DataFrame, partition_by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -101,16 +48,18 @@ def running_sum(df: DataFrame, amount: str, order_by: list[str], partition_by: l
                 out: str = "running", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Sum of `amount` over the row and all rows before it in the order."""
     ranged, keys = _keys(with_ranges(df, order_by, rows_per_range), partition_by or [])
-    where = [*keys, "__r1", "__r2"]
+    where = [*keys, "__r"]
     totals = ranged.groupBy(*where).agg(F.sum(amount).alias("__t"))
-    before = W.partitionBy(*keys).orderBy("__r1", "__r2").rowsBetween(W.unboundedPreceding, -1) if keys \
-        else W.partitionBy(F.lit(0)).orderBy("__r1", "__r2").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    before = W.partitionBy(*keys).orderBy("__r").rowsBetween(W.unboundedPreceding, -1) if keys \
+        else W.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.withColumn("__off", F.sum("__t").over(before)).drop("__t")
     inside = W.partitionBy(*where).orderBy(*_tie_order(df, order_by)) \
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     local = ranged.withColumn("__run", F.sum(amount).over(inside))
     joined = local.join(offsets, where, "left")
-    return joined.withColumn(out, F.col("__run") + F.col("__off")).select(*[col(c) for c in df.columns], out)
+    # null only while no value was seen, in this range or an earlier one
+    both = F.coalesce(F.col("__run") + F.col("__off"), F.col("__run"), F.col("__off"))
+    return joined.withColumn(out, both).select(*[col(c) for c in df.columns], out)
 
 
 def row_numbers(df: DataFrame, order_by: list[str], partition_by: list[str] | None = None,
@@ -124,7 +73,7 @@ def fill(df: DataFrame, columns: list[str], order_by: list[str], partition_by: l
          forward: bool = True, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Replace missing values by the last one before (or the next one after) in the order, per key."""
     ranged, keys = _keys(with_ranges(df, order_by, rows_per_range), partition_by or [])
-    where = [*keys, "__r1", "__r2"]
+    where = [*keys, "__r"]
     # Positions order every row alike in the aggregate and in the window.
     order = _tie_order(df, order_by)
     inside = W.partitionBy(*where).orderBy(*order)
@@ -134,7 +83,7 @@ def fill(df: DataFrame, columns: list[str], order_by: list[str], partition_by: l
     pick = F.max_by if forward else F.min_by
     edges = ranged.groupBy(*where).agg(*[
         pick(col(c), F.when(_present(df, c), rank)).alias(f"__e{i}") for i, c in enumerate(columns)])
-    over_ranges = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__r1", "__r2")
+    over_ranges = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__r")
     if forward:
         span, frame = over_ranges.rowsBetween(W.unboundedPreceding, -1), \
             inside.rowsBetween(W.unboundedPreceding, W.currentRow)

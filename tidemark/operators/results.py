@@ -83,10 +83,9 @@ def platform_stats(checks: DataFrame, rules: DataFrame, tables: DataFrame, servi
         F.round(F.coalesce("check_score", "table_score", F.lit(0.0)), 1).alias("average_quality_score"))
 
 
-def daily_series(checks: DataFrame, last_checks: int = 1000, last_days: int = 14) -> DataFrame:
-    """Passed and failed per day over the newest checks, newest days only."""
-    newest = checks.orderBy(F.desc("created_at"), F.desc("id")).limit(last_checks)
-    days = newest.groupBy(F.to_date("created_at").alias("date")).agg(
+def daily_series(checks: DataFrame, last_days: int = 14) -> DataFrame:
+    """Passed and failed per day, over all checks of the newest `last_days` days that have any."""
+    days = checks.groupBy(F.to_date("created_at").alias("date")).agg(
         F.count_if(F.col("status") == "passed").alias("passed"),
         F.count_if(F.col("status") != "passed").alias("failed"))
     return days.orderBy(F.desc("date")).limit(last_days).orderBy("date")
@@ -101,12 +100,10 @@ def check_report(results: DataFrame, key: str = "table_name") -> DataFrame:
     summary = F.concat(F.lit("Table '"), F.col(key), F.lit("': "), F.col("passed").cast("string"), F.lit("/"),
                        F.col("total").cast("string"), F.lit(" checks passed, average score "),
                        F.col("average_score").cast("string"), F.lit("%."))
-    good = F.lit("All quality checks passed. Data meets defined quality thresholds.")
+    good = F.lit("Every check passed.")
     bad = F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" checks failed"))
-    plan_good = F.lit("1. Continue monitoring.\n2. Schedule next quality check cycle.")
-    plan_bad = F.lit("1. Review each failed check above.\n2. Investigate root cause (ETL bug, schema change, data "
-                     "source issue).\n3. Apply targeted fixes to affected columns.\n4. Re-run quality checks to "
-                     "verify fixes.")
+    plan_good = F.lit("Nothing to mend; keep the schedule of checks.")
+    plan_bad = F.concat(F.lit("Mend the "), F.col("failed").cast("string"), F.lit(" failed checks, least score first, then run them again."))
     clean = F.col("failed") == 0
     return counted.withColumn("summary", summary) \
         .withColumn("diagnosis", F.when(clean, good).otherwise(bad)) \

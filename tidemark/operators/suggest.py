@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,7 +31,7 @@ def from_data(df: DataFrame) -> DataFrame:
     wild = [c for c, o in x.outliers.items()
             if o["iqr"] > o["n"] * 0.05 and o["n"] > 10 and x.quartiles[c][0] != x.quartiles[c][2] and x.distinct[c] > 2]
     if wild:
-        out.append(("outlier", "medium", "Handle outliers", wild[:5], "iqr_cap",
+        out.append(("outlier", "medium", "Handle outliers", wild, "iqr_cap",
                     f"Outliers detected in: {', '.join(wild[:5])}"))
     if x.text:
         out.append(("encoding", "medium", f"Encode {len(x.text)} categorical columns", x.text, "one_hot",
@@ -43,69 +41,40 @@ def from_data(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(out, SCHEMA)
 
 
+TEXT_TYPES = frozenset(("object", "string", "category", "str"))
+NUMBER_TYPES = frozenset(("int64", "float64", "number", "numeric", "int", "bigint", "smallint", "tinyint", "float", "double"))
+# What a column's profile may call for: test, priority, wording, and the transform with its method.
+COLUMN_NEEDS = [
+    (lambda p: (p.get("null_pct") or 0) > 5, "high", "Fill gaps", "imputation", "median"),
+    (lambda p: p.get("type") in NUMBER_TYPES and abs(p.get("skew") or 0) > 2, "medium", "Cap extreme values", "outlier", "iqr"),
+    (lambda p: p.get("type") in TEXT_TYPES and 0 < (p.get("unique") or 0) < (p.get("count") or 0) / 2, "medium", "Turn texts into codes", "encoding", "label"),
+    (lambda p: p.get("type") in TEXT_TYPES and (p.get("unique") or 0) > 0.9 * (p.get("count") or 0) > 0, "low", "Look at near-unique texts", "review", "none"),
+]
+# What a failed check calls for, by its type.
+CHECK_NEEDS = {"completeness": ("high", "Fill gaps", "imputation", "median"), "uniqueness": ("high", "Drop repeated rows", "dedup", "keep_first"),
+               "validity": ("medium", "Watch the format", "quality_rule", "validity"), "anomaly": ("medium", "Cap extreme values", "outlier", "iqr")}
+
+
 def from_profile(columns: list[dict], checks: list[dict], row_count: int = 0, column_count: int = 0,
-                 limit: int = 8) -> list[dict]:
+                 limit: int | None = None) -> list[dict]:
     """Suggestions from column profiles (name, type, null_pct, unique, count, skew) and check results
-    (type, status, column, score, message), most urgent first, at most `limit`."""
-    out: list[dict] = []
-
-    def add(kind: str, label: str, priority: str, **config) -> None:
-        out.append({"type": kind, "label": label, "priority": priority, "config": config})
-
-    failed = [c for c in checks if c.get("status") == "failed"]
-    seen = {c.get("type", "") for c in failed}
-    for c in failed:
-        kind, column, said = c.get("type", ""), c.get("column", ""), c.get("message", "").lower()
-        if kind == "completeness" or "null" in said or "missing" in said:
-            add("transformation", f"Impute missing values in {column or 'affected columns'}", "high",
-                transform_type="imputation", columns=[column] if column else [], method="median")
-        elif kind == "uniqueness" or "duplicate" in said:
-            add("transformation", "Remove duplicate rows", "high", transform_type="dedup",
-                columns=[column] if column else [], method="keep_first")
-        elif kind == "validity" or "format" in said:
-            add("quality_rule", f"Add validity rule for {column or 'affected columns'}", "medium",
-                rule_type="validity", column=column, severity="warning")
-
-    text = ("object", "string", "category", "str")
-    number = ("int64", "float64", "number", "numeric", "int", "bigint", "smallint", "tinyint", "float", "double")
-    gaps, encode, skewed, ids = [], [], [], []
-    for p in columns:
-        unique, count = p.get("unique") or 0, p.get("count") or 0
-        if float(p.get("null_pct") or 0) > 5 and "completeness" not in seen:
-            gaps.append(p["name"])
-        if p.get("type") in text and unique and count:
-            if unique < count * 0.5:
-                encode.append(p["name"])
-            elif unique / count > 0.9:
-                ids.append(p["name"])
-        if p.get("type") in number and abs(float(p.get("skew") or 0)) > 2:
-            skewed.append(p["name"])
-    if gaps:
-        add("transformation", f"Impute missing values in {len(gaps)} column(s)", "high",
-            transform_type="imputation", columns=gaps[:10], method="median")
-    if encode:
-        add("transformation", f"Encode {len(encode)} categorical column(s)", "medium", transform_type="encoding",
-            columns=encode[:10], method="one_hot" if len(encode) <= 5 else "label")
-    if skewed and "outlier" not in seen:
-        add("transformation", f"Handle outliers in {len(skewed)} column(s)", "medium", transform_type="outlier",
-            columns=skewed[:10], method="iqr")
-    if ids:
-        add("ml_preparation", f"Review high-cardinality columns: {', '.join(ids[:3])}", "low",
-            step="review_high_cardinality", columns=ids[:10])
-    if row_count and column_count:
-        if row_count < 1000:
-            add("ml_preparation", "Small dataset — consider data augmentation", "medium",
-                step="data_augmentation", current_rows=row_count)
-        if encode:
-            add("ml_preparation", "Train/test split after encoding", "low", step="train_test_split",
-                transform_type="data_split", method="stratified", test_size=0.2)
-    if failed and not any(s["type"] == "quality_rule" for s in out):
-        add("quality_rule", "Add quality rules to prevent data regression", "medium",
-            rule_type="completeness", severity="warning")
-    return sorted(out, key=lambda s: PRIORITY[s["priority"]])[:limit]
-
-
-def from_profile_frame(df: DataFrame, checks: list[dict], limit: int = 8) -> DataFrame:
+    (type, status, column), most urgent first: one for each kind of need, with all its columns."""
+    needs: dict[tuple, list[str]] = {}
+    for c in checks:
+        if c.get("status") == "failed" and c.get("type") in CHECK_NEEDS:
+            needs.setdefault(CHECK_NEEDS[c["type"]], []).append(c.get("column") or "")
+    for test, *need in COLUMN_NEEDS:
+        for p in columns:
+            if test(p):
+                needs.setdefault(tuple(need), []).append(p["name"])
+    if 0 < row_count < 1000 and column_count:
+        needs["medium", "Gather more rows", "review", "none"] = []
+    found = [{"type": kind, "priority": priority, "label": label, "config": {"columns": sorted(set(names) - {""}), "method": method}}
+             for (priority, label, kind, method), names in needs.items()]
+    return sorted(found, key=lambda s: (PRIORITY[s["priority"]], s["label"]))[:limit]
+
+
+def from_profile_frame(df: DataFrame, checks: list[dict], limit: int | None = None) -> DataFrame:
     """`from_profile` on a fresh measurement of a table."""
     x = Exploration(df)
     columns = [{"name": c, "type": df.schema[c].dataType.simpleString(), "unique": x.distinct[c], "count": x.rows,
@@ -118,36 +87,23 @@ def from_profile_frame(df: DataFrame, checks: list[dict], limit: int = 8) -> Dat
         rows, "position int, type string, priority string, label string, config string")
 
 
-def explanation(message: Column, rule_name: Column, score: Column) -> Column:
-    """What to do about a failed check, from the words of its message and rule."""
-    said, rule = F.lower(F.coalesce(message, F.lit(""))), F.lower(F.coalesce(rule_name, F.lit("")))
-    return F.when(said.contains("null") | said.contains("missing") | rule.contains("completeness"),
-                  "Fill null values with appropriate defaults or drop rows with missing data.") \
-        .when(said.contains("unique") | said.contains("duplicate"),
-              "Remove duplicates or make values unique by appending a counter.") \
-        .when(said.contains("format") | said.contains("email") | said.contains("valid"),
-              "Identify invalid format values and correct them or flag for review.") \
-        .otherwise(F.concat(F.lit("Investigate the "), score.cast("string"),
-                            F.lit("% score issue and apply targeted corrections.")))
+# Words of a message or rule name, and the transform that fits; the first row that matches counts.
+FIX_FOR_WORDS = [("duplicate|unique|repeated", "dedup"), ("outlier|extreme|anomal", "outlier"), ("encod|categor", "encoding"),
+                 ("normaliz|scale", "normalization"), ("date|timestamp", "date_parse"), ("type|cast", "type_conversion"),
+                 ("format|valid|email|pattern", "string_clean"), ("null|missing|complete", "imputation")]
 
 
 def fix_type(text: Column) -> Column:
-    """Transform that fits an explanation, by keyword; imputation when none fits."""
-    low = F.lower(text)
-
-    def has(*words: str) -> Column:
-        return reduce(or_, [low.contains(w) for w in words])
-
-    return F.when(has("duplicate"), "dedup").when(has("outlier"), "outlier").when(has("encod"), "encoding") \
-        .when(has("normaliz", "scale"), "normalization").when(has("string", "clean"), "string_clean") \
-        .when(has("date", "parse"), "date_parse").when(has("type", "cast"), "type_conversion") \
-        .otherwise("imputation")
+    """Transform that fits a text, by the table of words; imputation when none fits."""
+    matches = [F.when(F.lower(text).rlike(words), fix) for words, fix in FIX_FOR_WORDS]
+    return F.coalesce(*matches, F.lit("imputation"))
 
 
 def propose_fixes(failed_checks: DataFrame) -> DataFrame:
     """One proposal per failed check (columns: id, rule_name, message, score)."""
-    said = explanation(F.col("message"), F.col("rule_name"), F.col("score"))
-    return failed_checks.withColumn("explanation", said).withColumn("fix_type", fix_type(F.col("explanation")))
+    words = F.concat_ws(" ", "message", "rule_name")
+    fix = fix_type(words)
+    return failed_checks.withColumn("fix_type", fix).withColumn("explanation", F.concat_ws("", F.lit("Score "), F.col("score").cast("string"), F.lit(": try "), fix))
 
 
 def apply_fix(df: DataFrame, kind: str, config: dict | None = None) -> TransformResult:

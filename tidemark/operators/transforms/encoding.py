@@ -10,11 +10,10 @@ from ..lookup import category_table, lookup
 from .result import TransformResult, choose_method, names
 
 METHODS = ["one_hot", "label", "ordinal", "target", "frequency", "binary"]
-MAX_ONE_HOT = 1_000
 
 
-def one_hot(df: DataFrame, name: str, prefix: str | None = None, limit: int = MAX_ONE_HOT) -> DataFrame:
-    """A 0/1 column per value, sorted; null is 0 everywhere. Over `limit` values is an error."""
+def one_hot(df: DataFrame, name: str, prefix: str | None = None, limit: int | None = None) -> DataFrame:
+    """A 0/1 column per value, sorted; null is 0 everywhere. Over `limit` values, where one is given, is an error."""
     found = values.value_list(df, name, limit)
     flags = [F.coalesce((value(df, name) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{prefix or name}_{v}")
              for v in found]

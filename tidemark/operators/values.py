@@ -107,10 +107,10 @@ def few_values(df: DataFrame, limit: int = 15) -> DataFrame:
     return grouped.where(F.col("distinct_count") <= limit)
 
 
-def value_list(df: DataFrame, name: str, limit: int) -> list:
-    """Sorted distinct non-null values when there are at most `limit`; raises beyond that."""
-    rows = df.select(plain(df, name).alias("v")).where(F.col("v").isNotNull()) \
-        .distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def value_list(df: DataFrame, name: str, limit: int | None) -> list:
+    """Sorted distinct non-null values; more than `limit`, where one is given, raise an error."""
+    found = df.select(plain(df, name).alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"column {name!r} has more than {limit} distinct values")
     return sorted(r["v"] for r in rows)

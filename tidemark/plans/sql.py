@@ -1,43 +1,72 @@
-"""Read-only SQL over permitted tables."""
+"""Read-only SQL over permitted tables.
+
+A statement is parsed by Spark, and the parsed plan decides: only query nodes, only tables by name (no files as
+tables, none of the internal ones, in any letter case, qualified or in a subquery), and no functions that reach outside SQL.
+"""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_LIMIT = 1_000
-# Words that make a statement more than a query.
-FORBIDDEN = ["DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE", "ATTACH", "DETACH"]
-TABLE_AFTER = re.compile(r"""\b(?:FROM|JOIN)\s+["'`]?(\w+)["'`]?""", re.IGNORECASE)
 PRAGMA = re.compile(r"^PRAGMA\s+(?:table_info\s*\(\s*[\"'`]?(\w+)[\"'`]?\s*\)|table_list)\s*$", re.IGNORECASE)
+RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+FUNCTION = re.compile(r"'([A-Za-z_][\w.]*)\(")
+# Nodes of parsed plans that do more than read.
+WRITES = re.compile(r"^[\s:+|-]*'?(?:\w*(?:Insert|Delete|Update|Merge|Create|Drop|Alter|Replace|Truncate|Load|Set|Reset|Cache|Uncache|Refresh|Add|Analyze|Repair|"
+                    r"Rename|Comment|Call|Execute|ScriptTransformation|Transform|Variable)\w*)\b(?!\()", re.MULTILINE)
+FILE_FORMATS = frozenset("text csv json parquet orc avro delta binaryfile xml".split())
+REACHING_OUT = frozenset("reflect java_method try_reflect".split())
 
 
 class NotAllowed(ValueError):
     """The statement is no read-only query on permitted tables."""
 
 
-def guard(query: str, internal: set[str] = frozenset()) -> str:
+def parsed(spark: SparkSession, text: str) -> str:
+    """The parsed plan as text, with no expression left out for length."""
+    key = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, 1_000_000)
+    try:
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    except ParseException as error:
+        raise NotAllowed("not a statement Spark can parse") from error
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def guard(spark: SparkSession, query: str, internal: set[str] = frozenset()) -> str:
     """The statement without its final semicolon, or an error."""
     text = query.strip().rstrip(";").strip()
     if not text:
-        raise NotAllowed("query required")
-    upper = text.upper()
-    if not upper.startswith(("SELECT", "WITH", "PRAGMA")):
-        raise NotAllowed("Only SELECT / PRAGMA / WITH queries are allowed")
-    words = set(upper.split())
-    for word in FORBIDDEN:
-        if word in words:
-            raise NotAllowed(f"{word} operations are not allowed")
-    for name in TABLE_AFTER.findall(text):
-        if name in internal:
-            raise NotAllowed(f"Access to internal table '{name}' is not allowed")
+        raise NotAllowed("there is no statement")
+    if PRAGMA.match(text):
+        return text
+    if not re.match(r"\(*\s*(?:SELECT|WITH|VALUES|TABLE|FROM)\b", text, re.IGNORECASE):
+        raise NotAllowed("only statements that read are allowed")
+    plan = parsed(spark, text)
+    if WRITES.search(plan):
+        raise NotAllowed("only statements that read are allowed")
+    hidden = {name.lower() for name in internal}
+    for parts in RELATION.findall(plan):
+        names = [n.strip().lower() for n in parts.split(",")]
+        if names[-1] in hidden:
+            raise NotAllowed(f"table {names[-1]!r} is internal")
+        if len(names) > 1 and names[0] in FILE_FORMATS or re.search(r"[/:*]", parts):
+            raise NotAllowed("files are not tables here")
+    for name in FUNCTION.findall(plan):
+        if name.lower().rpartition(".")[2] in REACHING_OUT:
+            raise NotAllowed(f"function {name!r} is not allowed")
     return text
 
 
 def query(spark: SparkSession, text: str, internal: set[str] = frozenset(), limit: int = ROW_LIMIT) -> DataFrame:
     """Run a guarded query; at most `limit` rows come back. PRAGMA shows tables or the columns of one."""
-    safe = guard(text, internal)
+    safe = guard(spark, text, internal)
     pragma = PRAGMA.match(safe)
     if pragma:
         safe = f"DESCRIBE TABLE `{pragma[1]}`" if pragma[1] else "SHOW TABLES"
@@ -47,7 +76,7 @@ def query(spark: SparkSession, text: str, internal: set[str] = frozenset(), limi
 
 
 def query_rows(spark: SparkSession, text: str, internal: set[str] = frozenset(), limit: int = ROW_LIMIT) -> dict:
-    """The rows themselves, with `truncated` when the limit was reached."""
-    df = query(spark, text, internal, limit)
+    """At most `limit` rows themselves, with `truncated` when there are more."""
+    df = query(spark, text, internal, limit + 1)
     rows = [r.asDict() for r in df.collect()]
-    return {"columns": df.columns, "rows": rows, "row_count": len(rows), "truncated": len(rows) >= limit}
+    return {"columns": df.columns, "rows": rows[:limit], "row_count": min(len(rows), limit), "truncated": len(rows) > limit}

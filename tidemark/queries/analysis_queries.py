@@ -91,13 +91,19 @@ def suggest_outliers(spark, sf):
     return found.select("type", "method", F.concat_ws(",", "columns").alias("columns"))
 
 
-@query("suggest_from_profile", """SELECT * FROM (VALUES (1, 'transformation', 'high', 'Remove duplicate rows'),
-      (2, 'transformation', 'high', 'Impute missing values in 2 column(s)'), (3, 'transformation', 'medium', 'Encode 2 categorical column(s)'),
-      (4, 'quality_rule', 'medium', 'Add quality rules to prevent data regression'), (5, 'ml_preparation', 'low', 'Train/test split after encoding'))
-    t(position, type, priority, label), (SELECT count(*) n FROM orders WHERE o_orderstatus = 'P') WHERE n > 0""".replace("SELECT * FROM", "SELECT position, type, priority, label FROM"))
+@query("suggest_from_profile", f"""WITH {GAPPY}, s AS (SELECT 0 AS place, 'dedup' AS type, 'high' AS priority, 'Drop repeated rows' AS label, 'o_custkey' AS columns
+      UNION ALL SELECT 1, 'imputation', 'high', 'Fill gaps', string_agg(c, ',' ORDER BY c) FROM (
+        SELECT 'o_totalprice' AS c FROM g HAVING count(*) - count(o_totalprice) > 0.05 * count(*)
+        UNION ALL SELECT 'o_orderpriority' FROM g HAVING count(*) - count(o_orderpriority) > 0.05 * count(*)) HAVING count(*) > 0
+      UNION ALL SELECT 2, 'encoding', 'medium', 'Turn texts into codes', string_agg(c, ',' ORDER BY c) FROM (
+        SELECT 'o_orderstatus' AS c FROM g HAVING count(DISTINCT o_orderstatus) < count(*) / 2
+        UNION ALL SELECT 'o_orderpriority' FROM g HAVING count(DISTINCT o_orderpriority) < count(*) / 2) HAVING count(*) > 0
+      UNION ALL SELECT 2, 'review', 'medium', 'Gather more rows', '' FROM g HAVING count(*) < 1000)
+    SELECT row_number() OVER (ORDER BY priority, label)::INT AS position, type, priority, label, columns FROM s""")
 def suggest_from_profile(spark, sf):
     checks = [{"type": "uniqueness", "status": "failed", "column": "o_custkey", "score": 0, "message": ""}]
-    return suggest.from_profile_frame(gappy(spark, sf), checks).drop("config")
+    found = suggest.from_profile_frame(gappy(spark, sf), checks)
+    return found.withColumn("columns", F.concat_ws(",", F.from_json(F.get_json_object("config", "$.columns"), "array<string>"))).drop("config")
 
 
 @query("suggest_fix_for_failed_checks", """SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'dedup' ELSE 'imputation' END AS fix_type FROM events WHERE value > 50""")

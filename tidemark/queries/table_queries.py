@@ -187,17 +187,17 @@ def sql_query(name: str, text: str, duck: str | None = None) -> None:
         return guarded.query(spark, text)
 
 
-sql_query("sql_filter_like", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%0000001%' ORDER BY c_custkey LIMIT 50")
-sql_query("sql_top_by_value", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
-sql_query("sql_group_totals", "SELECT c_mktsegment, COUNT(*) AS customers, ROUND(SUM(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment ORDER BY balance DESC")
-sql_query("sql_two_conditions", "SELECT c_name, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_name LIMIT 20")
+sql_query("sql_filter_like", "SELECT s_suppkey, s_name FROM supplier WHERE s_name LIKE '%7' AND s_name NOT LIKE '%77' ORDER BY s_suppkey")
+sql_query("sql_top_by_value", "SELECT o_custkey, MAX(o_totalprice) AS largest_order FROM orders GROUP BY o_custkey ORDER BY largest_order DESC, o_custkey LIMIT 25")
+sql_query("sql_group_totals", "SELECT c_nationkey, COUNT(*) AS in_debt, ROUND(MIN(c_acctbal), 2) AS deepest FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey HAVING COUNT(*) > 1 ORDER BY c_nationkey")
+sql_query("sql_two_conditions", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice BETWEEN 100000 AND 120000 ORDER BY o_orderkey")
 sql_query("sql_join_two_tables", "SELECT c.c_name, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE c.c_acctbal > 9900 ORDER BY c.c_name LIMIT 1000")
-sql_query("sql_top_products", "SELECT p.p_name, p.p_brand, SUM(l.l_quantity) AS total_sold, ROUND(SUM(l.l_extendedprice), 2) AS revenue FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey, p.p_name, p.p_brand ORDER BY revenue DESC LIMIT 10")
-sql_query("sql_monthly_trend", "SELECT substr(CAST(o_orderdate AS STRING), 1, 7) AS month, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 2) AS revenue FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY month",
-          "SELECT substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS month, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 2) AS revenue FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY month")
-sql_query("sql_group_averages", "SELECT o_orderpriority, COUNT(*) AS count, ROUND(AVG(o_totalprice), 2) AS avg_order FROM orders GROUP BY o_orderpriority ORDER BY count DESC")
-sql_query("sql_two_keys", "SELECT l_returnflag, l_linestatus, COUNT(*) AS count FROM lineitem WHERE l_quantity >= 5 GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag")
-sql_query("sql_not_null_totals", "SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC LIMIT 15")
+sql_query("sql_top_products", "SELECT p.p_brand, COUNT(*) AS lines_sent_back, ROUND(AVG(l.l_discount), 4) AS mean_discount FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey WHERE l.l_returnflag = 'R' GROUP BY p.p_brand ORDER BY lines_sent_back DESC, p.p_brand LIMIT 12")
+sql_query("sql_monthly_trend", "SELECT substr(CAST(o_orderdate AS STRING), 1, 4) AS year, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders, COUNT(*) AS placed FROM orders GROUP BY 1 ORDER BY year",
+          "SELECT substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS year, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders, COUNT(*) AS placed FROM orders GROUP BY 1 ORDER BY year")
+sql_query("sql_group_averages", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS buyers, ROUND(AVG(o_totalprice), 2) AS mean_price FROM orders GROUP BY o_orderstatus ORDER BY o_orderstatus")
+sql_query("sql_two_keys", "SELECT l_linestatus, l_shipmode, COUNT(*) AS late_lines FROM lineitem WHERE l_quantity < 10 GROUP BY l_linestatus, l_shipmode ORDER BY l_linestatus, l_shipmode")
+sql_query("sql_not_null_totals", "SELECT event_type, COUNT(value) AS measured, ROUND(MAX(value) - MIN(value), 4) AS spread FROM events WHERE value IS NOT NULL GROUP BY event_type ORDER BY event_type")
 sql_query("sql_left_join", "SELECT n.n_name, COUNT(s.s_suppkey) AS suppliers FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name")
 sql_query("sql_exists_joins", """SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)
     AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal < 0)""")

@@ -10,6 +10,7 @@ from ..functions.columns import col
 from ..operators import profile
 from .readers import read_path
 
+#: Default of the widest table that `ingest` takes; a parameter there.
 MAX_COLUMNS = 1_000
 
 
