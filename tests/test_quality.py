@@ -283,3 +283,16 @@ def test_one_hot_decode(spark):
     assert out.columns == ["id", "Name", "Age (Years)"]
     assert [tuple(r) for r in out.collect()] == [(1, "ann", 10.0), (2, "bob", 12.0), (3, None, None)]
     assert onehot.decode(df.select("id")).columns == ["id"]
+
+
+def test_many_columns_are_correlated_in_one_plan(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    data = draw.normal(size=(400, 60)).cumsum(axis=1) + 1e6
+    data[draw.random(data.shape) < 0.05] = np.nan
+    data[:, 7] = 3.5
+    pdf = pd.DataFrame(data, columns=[f"x{k}" for k in range(60)])
+    got, want = eda.correlations(spark.createDataFrame(pdf), list(pdf)), pdf.corr()
+    assert len(got) == 60 * 59 // 2
+    assert all((r is None) == ("x7" in (a, b)) and (r is None or r == pytest.approx(want.loc[a, b], abs=1e-9)) for (a, b), r in got.items())

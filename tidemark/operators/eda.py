@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from functools import cached_property
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double, correlation, datetime_columns, numeric_columns, text_columns
+from ..functions.columns import as_double, datetime_columns, numeric_columns, text_columns
 from . import profile, quantiles, values
 
 
@@ -71,13 +73,40 @@ class Exploration:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair over rows where both are present: one job."""
+    """Pearson correlation of every pair over rows where both are present; null where one of them does not vary or a
+    value is infinite. Every task adds up the sums of all pairs by matrix products, and the sums are merged per pair,
+    so the plan does not grow with the pairs. Values are taken from the least of their column, against cancellation."""
     pairs = list(combinations(columns, 2))
     if not pairs:
         return {}
-    row = df.agg(*[correlation(as_double(df, a), as_double(df, b)).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)]).first()
-    return {p: None if row[i] is None or math.isnan(row[i]) else row[i] for i, p in enumerate(pairs)}
+    numbers = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    least = numbers.agg(*[F.min(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in numbers.columns]).first()
+    start = np.array([0.0 if v is None or math.isnan(v) else v for v in least])
+    first, second = (np.array(side) for side in zip(*combinations(range(len(columns)), 2)))
+    names = ["pair", "n", "x", "y", "xx", "yy", "xy", "infinite"]
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            got = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            odd, there = np.isinf(got).astype(float), np.isfinite(got)
+            v, m = np.where(there, got - start, 0.0), there.astype(float)
+            sums, squares, seen = v.T @ m, (v * v).T @ m, m + odd
+            part = np.stack([(m.T @ m)[first, second], sums[first, second], sums[second, first], squares[first, second],
+                             squares[second, first], (v.T @ v)[first, second], (odd.T @ seen + seen.T @ odd)[first, second]])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(first))), *map(pa.array, total)], names=names)
+
+    merged = numbers.mapInArrow(add, "pair long, " + ", ".join(f"{n} double" for n in names[1:])) \
+        .groupBy("pair").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    found: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    for r in merged.collect():
+        if r["n"] and not r["infinite"]:
+            vx, vy = r["xx"] - r["x"] ** 2 / r["n"], r["yy"] - r["y"] ** 2 / r["n"]
+            if vx > 1e-12 * r["xx"] and vy > 1e-12 * r["yy"]:
+                found[pairs[r["pair"]]] = (r["xy"] - r["x"] * r["y"] / r["n"]) / math.sqrt(vx) / math.sqrt(vy)
+    return found
 
 
 def count_outliers(df: DataFrame, stats: dict[str, dict], quartiles: dict[str, tuple]) -> dict[str, dict]:

@@ -196,7 +196,7 @@ sql_query("sql_top_products", "SELECT p.p_brand, COUNT(*) AS lines_sent_back, RO
 sql_query("sql_monthly_trend", "SELECT substr(CAST(o_orderdate AS STRING), 1, 4) AS year, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders, COUNT(*) AS placed FROM orders GROUP BY 1 ORDER BY year",
           "SELECT substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS year, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders, COUNT(*) AS placed FROM orders GROUP BY 1 ORDER BY year")
 sql_query("sql_group_averages", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS buyers, ROUND(AVG(o_totalprice), 2) AS mean_price FROM orders GROUP BY o_orderstatus ORDER BY o_orderstatus")
-sql_query("sql_two_keys", "SELECT l_linestatus, l_shipmode, COUNT(*) AS late_lines FROM lineitem WHERE l_quantity < 10 GROUP BY l_linestatus, l_shipmode ORDER BY l_linestatus, l_shipmode")
+sql_query("sql_two_keys", "SELECT l_linestatus, l_linenumber, COUNT(*) AS small_lines FROM lineitem WHERE l_quantity < 10 GROUP BY l_linestatus, l_linenumber ORDER BY l_linestatus, l_linenumber")
 sql_query("sql_not_null_totals", "SELECT event_type, COUNT(value) AS measured, ROUND(MAX(value) - MIN(value), 4) AS spread FROM events WHERE value IS NOT NULL GROUP BY event_type ORDER BY event_type")
 sql_query("sql_left_join", "SELECT n.n_name, COUNT(s.s_suppkey) AS suppliers FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name")
 sql_query("sql_exists_joins", """SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)
