@@ -296,3 +296,16 @@ def test_many_columns_are_correlated_in_one_plan(spark):
     got, want = eda.correlations(spark.createDataFrame(pdf), list(pdf)), pdf.corr()
     assert len(got) == 60 * 59 // 2
     assert all((r is None) == ("x7" in (a, b)) and (r is None or r == pytest.approx(want.loc[a, b], abs=1e-9)) for (a, b), r in got.items())
+
+
+def test_patterns_and_sets_beyond_ascii(spark):
+    from tidemark.functions.columns import not_in_set, not_matching
+    from tidemark.functions.text import regex_replace
+
+    df = spark.createDataFrame([("José", 1), ("Muñoz", 2), ("a b", 3), (None, None)], "s string, i int")
+    bad = lambda c: [r["s"] for r in df.where(c).collect()]
+    assert bad(not_matching(df, "s", r"^\w+$")) == ["a b"] and bad(not_matching(df, "s", r"(?P<x>J).*\Z")) == ["Muñoz", "a b"]
+    assert bad(not_matching(df, "s", r"(?P<first_one>.)(?P=first_one)")) == ["José", "Muñoz", "a b"] and bad(not_matching(df, "s", "[")) == []
+    assert bad(not_in_set(df, "i", ["1", "active"])) == ["José", "Muñoz", "a b"] and bad(not_in_set(df, "i", ["x", 1, 2.0])) == ["a b"]
+    assert bad(not_in_set(df, "s", [1, "José"])) == ["Muñoz", "a b"]
+    assert df.select(regex_replace(F.col("s"), r"\W", "_").alias("t")).where("s = 'José'").first()["t"] == "José"

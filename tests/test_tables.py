@@ -165,3 +165,9 @@ def test_guard_reads_the_plan(spark, text):
 def test_exactly_the_limit_is_not_truncated(spark):
     spark.range(5).createOrReplaceTempView("five")
     assert not sql.query_rows(spark, "SELECT * FROM five", limit=5)["truncated"] and sql.query_rows(spark, "SELECT * FROM five", limit=4)["truncated"]
+
+
+def test_quoted_line_breaks_by_default(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,t\n1,"two\nlines"\n2,x\n')
+    assert readers.read_path(spark, str(path)).count() == 2 and readers.read_path(spark, str(path), multiLine=False).count() == 3

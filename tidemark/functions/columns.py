@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Text tokens read as booleans.
@@ -105,21 +107,52 @@ def is_blank(df: DataFrame, name: str) -> Column:
 
 
 def not_in_set(df: DataFrame, name: str, allowed: list) -> Column:
-    """Non-null value outside the allowed list."""
-    return F.coalesce(~value(df, name).isin(list(allowed)), F.lit(False))
+    """Non-null value outside the allowed list. Entries that the column's type cannot hold allow nothing: texts
+    in the list of a number column, numbers in that of a text column."""
+    dtype = df.schema[name].dataType
+    if is_numeric(dtype):
+        fits = [int(a) if isinstance(a, bool) else a for a in allowed if isinstance(a, (bool, int, float, Decimal))]
+    elif is_text(dtype):
+        fits = [a for a in allowed if isinstance(a, str)]
+    elif isinstance(dtype, T.BooleanType):
+        fits = [bool(a) for a in allowed if isinstance(a, (bool, int, float)) and a in (0, 1)]
+    else:
+        fits = [a for a in allowed if a is not None]
+    if is_datetime(dtype):
+        kind = dtype.simpleString()
+        fits = [F.lit(a).try_cast(kind) for a in fits]
+    return value(df, name).isNotNull() & ~F.coalesce(value(df, name).isin(fits) if fits else F.lit(False), F.lit(False))
+
+
+def java_regex(pattern: str) -> str:
+    r"""A Python pattern as Java reads it: classes such as \w beyond ASCII, named groups, \Z for the end."""
+    names: dict[str, str] = {}
+
+    def name(m: re.Match) -> str:
+        return names.setdefault(m[1], f"g{len(names)}")
+
+    out = re.sub(r"(?<!\\)\(\?P<(\w+)>", lambda m: f"(?<{name(m)}>", pattern)
+    out = re.sub(r"(?<!\\)\(\?P=(\w+)\)", lambda m: f"\\k<{name(m)}>", out)
+    return "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
 
 
 def not_matching(df: DataFrame, name: str, pattern: str) -> Column:
     """Non-null value that the pattern does not match from its start.
 
-    A pattern that is no regular expression marks nothing.
+    A pattern that is no regular expression marks nothing; one that only Python understands is an error here,
+    before any job runs.
     """
     try:
         re.compile(pattern)
     except re.error:
         return F.lit(False)
+    java = java_regex(pattern)
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError as error:
+        raise ValueError(f"pattern {pattern!r} is not supported on Spark") from error
     text = value(df, name).cast("string")
-    return F.coalesce(~text.rlike(r"\A(?:" + pattern + ")"), F.lit(False))
+    return F.coalesce(~text.rlike(r"\A(?:" + java + ")"), F.lit(False))
 
 
 def out_of_range(df: DataFrame, name: str, low=None, high=None) -> Column:

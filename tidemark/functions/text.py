@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from .columns import java_regex
+
 SPACE = r"(?U)\s+"
 MARK = "\ue000"   # a private-use character, which has no meaning in text
 
@@ -33,7 +35,7 @@ def regex_replace(c: Column, pattern: str, replacement: str = "") -> Column:
     java = replacement.replace("$", r"\$")
     java = re.sub(r"\\g<(\w+)>", lambda m: "$" + m[1] if m[1].isdigit() else "${" + m[1] + "}", java)
     java = re.sub(r"\\(\d+)", r"$\1", java)
-    return F.regexp_replace(c, F.lit(pattern), F.lit(java))
+    return F.regexp_replace(c, F.lit(java_regex(pattern)), F.lit(java))
 
 
 def remove_special(c: Column) -> Column:

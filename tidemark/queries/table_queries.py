@@ -38,7 +38,7 @@ def csv_quoted_text(spark, sf):
     path = fresh_path(spark, "csv")
     df = load(spark, sf, "documents").select("doc_id", "lang", "text")
     df.write.option("header", True).option("escape", '"').csv(path)
-    return readers.read_csv(spark, path, schema=df.schema, multiLine=True)
+    return readers.read_csv(spark, path, schema=df.schema)
 
 
 @query("json_round_trip", f"WITH {GAPPY} SELECT o_orderkey, o_totalprice, o_orderpriority FROM g")

@@ -17,10 +17,13 @@ FORMATS = {"csv": "csv", "json": "json", "parquet": "parquet", "orc": "orc", "js
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = True, **options) -> DataFrame:
     """CSV with a header. Missing-value tokens become null before types are chosen.
 
+    Quoted values may hold line breaks, so a file is read by one task; `multiLine=False` splits large files of
+    which it is known that no value has a line break.
+
     With a schema there is one scan. Otherwise types come from one extra aggregation over the text:
     long, double, boolean, else string; dates stay text, as a CSV has no type for them.
     """
-    reader = spark.read.options(header=True, multiLine=options.pop("multiLine", False), escape='"', **options)
+    reader = spark.read.options(header=True, multiLine=options.pop("multiLine", True), escape='"', **options)
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)
@@ -55,12 +58,12 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_path(spark: SparkSession, path: str, default: str = "csv") -> DataFrame:
-    """Any supported file or folder, by the ending of its name."""
+def read_path(spark: SparkSession, path: str, default: str = "csv", **options) -> DataFrame:
+    """Any supported file or folder, by the ending of its name; options are those of `read_csv`."""
     ending = posixpath.basename(path.rstrip("/")).rsplit(".", 1)[-1].lower() if "." in path else ""
     fmt = FORMATS.get(ending, default)
     if fmt == "csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, **options)
     if fmt == "json":
         return read_json(spark, path, lines=ending in ("jsonl", "ndjson"))
     return spark.read.format(fmt).load(path)

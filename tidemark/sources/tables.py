@@ -117,10 +117,11 @@ def append(rows: DataFrame, target: str) -> None:
         writer.saveAsTable(target)
 
 
-def ingest(spark: SparkSession, path: str, name: str, table: bool = False) -> dict:
-    """Read a file, detect types, profile every column and register it. Over 1,000 columns is an error."""
-    df = read_path(spark, path)
-    if len(df.columns) > MAX_COLUMNS:
+def ingest(spark: SparkSession, path: str, name: str, table: bool = False, max_columns: int = MAX_COLUMNS, **options) -> dict:
+    """Read a file, detect types, profile every column and register it. Over `max_columns` columns is an error; options
+    are those of `read_csv`."""
+    df = read_path(spark, path, **options)
+    if len(df.columns) > max_columns:
         raise ValueError(f"Too many columns: {len(df.columns)}")
     types = profile.detect_types(df)
     stats = profile.ingest_profile(df, types)
