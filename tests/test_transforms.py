@@ -124,10 +124,13 @@ def test_encoding(spark):
     assert apply_transform(frame(spark, "x int", (1,)), "encoding", {}).message == "No categorical columns found to encode"
 
 
-def test_one_hot_refuses_too_many_values(spark):
-    df = spark.range(2000).select(F.col("id").cast("string").alias("c"))
+def test_one_hot_has_no_cap_but_takes_a_limit(spark):
+    from tidemark.operators.transforms.encoding import one_hot
+
+    df = spark.range(1100).select(F.col("id").cast("string").alias("c"))
+    assert len(one_hot(df, "c").columns) == 1101
     with pytest.raises(ValueError):
-        apply_transform(df, "encoding", {"method": "one_hot"})
+        one_hot(df, "c", limit=1000)
 
 
 def test_target_encoding(spark):
