@@ -43,6 +43,22 @@ def test_against_sql(spark, name):
     assert differences(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLES[name]) == ""
 
 
+def test_hot_keys_of_a_join_are_salted(spark):
+    rows = spark.range(9_000).select("id", F.when(F.col("id") < 3_000, -1).when(F.col("id") < 3_010, F.lit(None)).otherwise(F.col("id") % 2_500).alias("k"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s")).where("k <> 5")
+    want = sorted(map(tuple, rows.join(facts, "k").select("id", "k", "n", "s").collect()))
+    got = common.attach(rows, facts, ["k"], 9_000)
+    assert got.columns == ["id", "k", "n", "s"] and sorted(map(tuple, got.collect())) == want
+    assert common.attach(rows.limit(0), facts.limit(0), ["k"], 0).count() == 0
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, k) for k in range(1, 3_000)] + [(9_000, k) for k in range(4_000, 5_000)] + [(9_500, 9_500)] + [(6_000 + k, 6_001 + k) for k in range(40)]
+    got = {r["node"]: r["root"] for r in common.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(3_000)}, **{k: 4_000 for k in (*range(4_000, 5_000), 9_000)}, **{k: 6_000 for k in range(6_000, 6_041)}}
+    assert common.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # chat
 
 def test_chat_round_trip(spark):

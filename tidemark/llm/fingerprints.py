@@ -24,7 +24,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, grouped, settle, text_of
+from .common import Memo, attach, grouped, settle, text_of
 
 BITS, RADIUS, BLOCKS = 64, 3, 5
 #: Entries that one task compares with each other or with as many others.
@@ -141,7 +141,6 @@ def near(marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
     with another fingerprint within the radius) and n_near_marks (such fingerprints). Those without any are left out."""
     tables = masks(radius, blocks)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    value = F.expr("cast(conv(substring(fingerprint, 1, 8), 16, 10) as bigint) * 4294967296L + cast(conv(substring(fingerprint, 9, 8), 16, 10) as bigint)")
     high = F.shiftleft(F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long"), 32)
     value = high.bitwiseOR(F.conv(F.substring("fingerprint", 9, 8), 16, 10).cast("long"))
     entries = marks.select(value.alias("mark"), F.col("copies").cast("long").alias("copies"))
@@ -150,7 +149,7 @@ def near(marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
     ).select(F.col("x.t").alias("t"), F.col("x.key").alias("key"), "mark", "copies")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     # a group of n entries is cut into blocks; every two blocks meet in one task
-    cut = keyed.join(sizes, ["t", "key"]).withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("mark"), F.col("of")))
+    cut = attach(keyed, sizes, ["t", "key"], entries.count() * len(tables)).withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("mark"), F.col("of")))
     met = cut.select("t", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("o"), "b", "mark", "copies").select(
         "t", "key", F.least("o", "b").alias("i"), F.greatest("o", "b").alias("j"), "b", "mark", "copies")
 
@@ -189,8 +188,8 @@ def near(marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
 def search(documents: DataFrame) -> DataFrame:
     """`fingerprints` with n_copies (other documents with the fingerprint) and n_near (those within the radius besides)."""
     marked = settle(fingerprints(documents))
-    counts = marked.groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    counts = settle(marked.groupBy("fingerprint").agg(F.count("*").alias("copies")))
     found = counts.join(near(counts), "fingerprint", "left").select(
-        "fingerprint", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    return marked.join(found, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "fingerprint", "copies", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return attach(marked, found, ["fingerprint"], marked.count(), "copies").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                                                     "near_edited", "near_next", "n_copies", "n_near")

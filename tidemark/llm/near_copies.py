@@ -19,7 +19,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, connected, grouped, map_rows, settle, text_of
+from .common import Memo, attach, connected, grouped, map_rows, settle, text_of
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Shingles that one block of a component may have.
@@ -93,12 +93,13 @@ def links(documents: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     """Verified links: rows (class_key, other, copies, n). With `other` null: the class has n links to classes which have `copies`
     documents together, found in one block; else an edge of a spanning forest of the links. `classes` has class_key, copies, n_shingles, bands."""
     keyed = classes.select("class_key", F.posexplode("bands").alias("band", "hash"))
-    least = keyed.groupBy("band", "hash").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = keyed.join(least, ["band", "hash"]).select(F.col("class_key").alias("a"), F.col("least").alias("b"))
+    least = keyed.groupBy("band", "hash").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    n_classes, n_keys = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
+    near = attach(keyed, least, ["band", "hash"], n_keys).select(F.col("class_key").alias("a"), F.col("least").alias("b"))
     component = connected(near).select(F.col("node").alias("class_key"), "root")
     placed = classes.join(component, "class_key").select("class_key", "root", "copies", "n_shingles", "bands", "doc_id", "text_hash")
-    sizes = placed.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = settle(placed.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")))
+    sizes = placed.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = settle(attach(placed, sizes, ["root"], n_classes).drop("n").withColumn("b", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")))
 
     # the text of one document of each class, for the full set
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
@@ -174,8 +175,8 @@ def classed(documents: DataFrame, similarity: float = SIMILARITY, recall: float
     groups = connected(found.where("other is not null").select(F.col("class_key").alias("a"), F.col("other").alias("b"))).select(
         F.col("node").alias("class_key"), F.col("root").alias("group_key"))
     joined = classes.join(counts, "class_key", "left").join(groups, "class_key", "left").withColumn("group_key", F.coalesce("group_key", "class_key"))
-    ids = joined.groupBy("group_key").agg(F.min("class_id").alias("group_id"))
-    return rows.select("doc_id", "text_hash", "class_key"), settle(joined.join(ids, "group_key").select(
+    ids = joined.groupBy("group_key").agg(F.min("class_id").alias("group_id"), F.count("*").alias("n_classes"))
+    return rows.select("doc_id", "text_hash", "class_key"), settle(attach(joined, ids, ["group_key"], classes.count(), "n_classes").select(
         "class_key", "group_key", "class_id", "group_id", "copies", (F.col("copies") - 1 + F.coalesce("reach", F.lit(0))).alias("n_links"),
         F.coalesce("n", F.lit(0)).alias("n_class_links"), "doc_id", "text_hash"))
 
@@ -184,7 +185,9 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, recall: float = R
     """One row per document: doc_id, class_id (least id with the same set), group_id (least id connected by links), n_links (other
     documents that are similar enough, copies included), n_class_links (other classes)."""
     rows, classes = classed(documents, similarity, recall)
-    return rows.drop("text_hash").join(classes.drop("doc_id", "text_hash"), "class_key").select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    facts = classes.drop("doc_id", "text_hash")
+    return attach(rows.drop("text_hash"), facts, ["class_key"], total, "copies").select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
