@@ -309,3 +309,19 @@ def test_patterns_and_sets_beyond_ascii(spark):
     assert bad(not_in_set(df, "i", ["1", "active"])) == ["José", "Muñoz", "a b"] and bad(not_in_set(df, "i", ["x", 1, 2.0])) == ["a b"]
     assert bad(not_in_set(df, "s", [1, "José"])) == ["Muñoz", "a b"]
     assert df.select(regex_replace(F.col("s"), r"\W", "_").alias("t")).where("s = 'José'").first()["t"] == "José"
+
+
+def test_samples_of_every_kind_in_one_pass(spark):
+    rows = [(k, "hot" if k % 3 == 0 else None if k in (4, 5) else f"u{k}", 1000.0 if k in (7, 50) else float(k % 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, k string, x double")
+    rules = [{"id": "u", "type": "uniqueness", "config": {"column": "k"}}, {"id": "a", "type": "anomaly", "config": {"column": "x", "threshold": 0.2}},
+             {"id": "c", "type": "completeness", "config": {"column": "k", "threshold": 100}}]
+    doubled, _, blank = checks.run_rules(df, rules, sample_order=["id"], samples=4)
+    assert [m["id"] for m in doubled.failed_samples] == ["0", "3", "4", "5"] and doubled.records_failed == 22
+    assert [m["id"] for m in blank.failed_samples] == ["4", "5"]
+
+
+def test_outliers_are_sampled_with_z(spark):
+    df = spark.createDataFrame([(k, 500.0 if k % 10 == 3 else 1.0 + k % 3) for k in range(50)], "id int, x double")
+    (out,) = checks.run_rules(df, [{"id": "a", "type": "anomaly", "config": {"column": "x", "threshold": 2}}], sample_order=["id"], samples=3)
+    assert out.status == "failed" and [m["id"] for m in out.failed_samples] == ["3", "13", "23"] and float(out.failed_samples[0]["z"]) > 2

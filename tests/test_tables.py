@@ -148,6 +148,17 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert sorted(map(tuple, done.collect())) == sorted(map(tuple, batch.collect())) and done.count() > 10
 
 
+def test_a_second_run_of_a_stream_goes_on(spark, tmp_path):
+    schema, folder, out = "ts timestamp, v double", str(tmp_path / "in/*"), str(tmp_path / "out")
+    start = datetime(2024, 1, 1)
+    for part in range(2):
+        rows = [(start + timedelta(minutes=7 * i), float(i)) for i in range(100 * part, 100 * part + 100)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))
+        quality.run_available(quality.window_metrics(quality.stream_table(spark, folder, "*.parquet", schema), "ts", "1h", lateness="10m"), out)
+    done = [r["window_start"] for r in spark.read.parquet(out).collect()]
+    assert sorted(done) == [start + timedelta(hours=k) for k in range(len(done))] and len(done) > 20
+
+
 def test_scratch_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or scratch.shared_dir(spark) == named

@@ -223,3 +223,10 @@ def test_types(spark):
     numeric = apply_transform(frame(spark, "a string", ("1",), ("1d",), ("x",), (" 2 ",)), "convert_type", {"method": "to_numeric", "column": "a"})
     assert column(numeric.df, "a") == [1.0, None, None, 2.0]
     assert not apply_transform(df, "type_conversion", {"method": "to_numeric"}).success
+
+
+def test_one_date_layout_per_column(spark):
+    df = spark.createDataFrame([("05/06/2024", "05/06/2024"), ("15/06/2024", "05/16/2024"), (None, "")], "d string, m string")
+    got = apply_transform(df, "date_parse", {"columns": ["d", "m"]}).df.collect()
+    assert [str(r["d"])[:10] for r in got] == ["2024-06-05", "2024-06-15", "None"]
+    assert [str(r["m"])[:10] for r in got] == ["2024-05-06", "2024-05-16", "None"]

@@ -50,8 +50,23 @@ def java_pattern(fmt: str) -> str:
     return "".join(out)
 
 
-def as_timestamp(df: DataFrame, name: str, fmt: str | None = None) -> Column:
-    """The column as a naive timestamp; text that does not parse becomes null."""
+DAY_FIRST, MONTH_FIRST = r"^(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/\d{4}$", r"^(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/\d{4}"
+
+
+def day_first(df: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Whether dates such as 05/06/2024 begin with the day: one answer for a whole column, yes if more of its values can only
+    be read with the day first than only with the month first. All columns are counted in one pass."""
+    texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return {}
+    row = df.agg(*[e for i, c in enumerate(texts) for e in (
+        F.count_if(col(c).rlike(DAY_FIRST)).alias(f"d{i}"), F.count_if(col(c).rlike(MONTH_FIRST)).alias(f"m{i}"))]).first()
+    return {c: row[f"d{i}"] > row[f"m{i}"] for i, c in enumerate(texts)}
+
+
+def as_timestamp(df: DataFrame, name: str, fmt: str | None = None, day_first: bool = False) -> Column:
+    """The column as a naive timestamp; text that does not parse becomes null. With `day_first`, dd/MM/yyyy goes before
+    MM/dd/yyyy where both can be read."""
     dtype = df.schema[name].dataType
     if is_datetime(dtype):
         return col(name).cast("timestamp_ntz")
@@ -61,7 +76,8 @@ def as_timestamp(df: DataFrame, name: str, fmt: str | None = None) -> Column:
     if fmt:
         return F.try_to_timestamp(text, F.lit(java_pattern(fmt))).cast("timestamp_ntz")
     tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz")) for p, shape in LAYOUTS]
+    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz")) for p, shape in (
+        sorted(LAYOUTS, key=lambda x: x[0] != "dd/MM/yyyy") if day_first else LAYOUTS)]
     return F.when(text.rlike(r"\d{4}"), F.coalesce(*tries))
 
 

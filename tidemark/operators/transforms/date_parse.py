@@ -32,17 +32,18 @@ def parse_dates(df: DataFrame, config: dict) -> TransformResult:
         return TransformResult(df, success=False, note="No date-like columns found")
     features = [f for f in config.get("features", ["year", "month", "day", "dayofweek", "quarter"])
                 if f in dates.FEATURES]
+    days = {} if fmt and method not in ("extract_features", "to_format") else dates.day_first(df, targets)
     added: list[str] = []
     if method == "extract_features":
-        extra = [dates.FEATURES[f](dates.as_timestamp(df, c)).alias(f"{c}_{f}") for c in targets for f in features]
+        extra = [dates.FEATURES[f](dates.as_timestamp(df, c, day_first=days.get(c, False))).alias(f"{c}_{f}") for c in targets for f in features]
         added = [f"{c}_{f}" for c in targets for f in features]
         out = df.select("*", *extra)
     elif method == "to_format":
         pattern = dates.java_pattern(config.get("output_format", "%Y-%m-%d"))
-        shown = {c: F.date_format(dates.as_timestamp(df, c), pattern) for c in targets}
+        shown = {c: F.date_format(dates.as_timestamp(df, c, day_first=days.get(c, False)), pattern) for c in targets}
         out = df.select(*[shown[c].alias(c) if c in shown else col(c) for c in df.columns])
     else:
-        parsed = {c: dates.as_timestamp(df, c, fmt) for c in targets}
+        parsed = {c: dates.as_timestamp(df, c, fmt, days.get(c, False)) for c in targets}
         out = df.select(*[parsed[c].alias(c) if c in parsed else col(c) for c in df.columns])
 
     def measure() -> dict:

@@ -58,7 +58,8 @@ def _converted(df: DataFrame, name: str, kind: str, config: dict) -> Column:
     if kind == "string":
         return value(df, name).cast("string").alias(name)
     if kind == "datetime":
-        return dates.as_timestamp(df, name, config.get("date_format")).alias(name)
+        fmt = config.get("date_format")
+        return dates.as_timestamp(df, name, fmt, not fmt and dates.day_first(df, [name]).get(name, False)).alias(name)
     if kind == "boolean":
         return to_boolean(col(name), config.get("true_values", TRUE_TOKENS),
                           config.get("false_values", FALSE_TOKENS)).alias(name)

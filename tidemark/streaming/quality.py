@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.scratch import fresh_path
-
 UNITS = {"m": "minutes", "h": "hours", "d": "days"}
 
 
@@ -36,11 +34,12 @@ def window_metrics(rows: DataFrame, time: str, every: str, present: dict[str, Co
                           *[c for c in grouped.columns if c != "w"])
 
 
-def run_available(metrics: DataFrame, path: str) -> StreamingQuery:
-    """Process what is there now and append finished windows to a Parquet folder, once each."""
-    spark = metrics.sparkSession
+def run_available(metrics: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Process what is there now and append finished windows to a Parquet folder, once each. The checkpoint is kept (by
+    default in a folder beside `path`), so the next run goes on where this one ended; windows that are still open then are
+    written by the run whose rows close them."""
     query = metrics.writeStream.format("parquet").outputMode("append").trigger(availableNow=True) \
-        .option("path", path).option("checkpointLocation", fresh_path(spark, "stream-state")).start()
+        .option("path", path).option("checkpointLocation", checkpoint or f"{path.rstrip('/')}_state").start()
     query.awaitTermination()
     return query
 
