@@ -129,28 +129,28 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, size:
 
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), by alternating large and small stars: rows (node, root), where
-    root is the least node of the component. Nodes are of any ordered type. Only a count and a checksum of the
-    edges reach the driver, once a round."""
+    root is the least node of the component. Nodes are of any ordered type. It ends when every component is a star around
+    its least node. Only two counts reach the driver, once a round."""
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _mark(now)
-    while True:
+    n_edges, open_nodes = _shape(now)
+    while open_nodes:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = attach(both, least, ["a"], 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = attach(both, least, ["a"], 2 * n_edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = (attach(large, root, ["a"], seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = (attach(large, root, ["a"], n_edges).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(root.select("a", F.col("m").alias("b"))).distinct())
         now = settle(small)
-        before, seen = seen, _mark(now)
-        if before == seen:
-            break
+        n_edges, open_nodes = _shape(now)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and checksum of the edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _shape(edges: DataFrame) -> tuple[int, int]:
+    """The number of distinct edges (a, b), b < a, and of nodes that have several lower neighbours, or lower and higher ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("lower")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("lower")))
+    nodes = ends.groupBy("node").agg(F.sum("lower").alias("lower"), F.count("*").alias("n"))
+    return tuple(nodes.agg(F.coalesce(F.sum("lower"), F.lit(0)), F.count_if(F.expr("lower > 1 or (lower = 1 and n > 1)"))).first())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2) -> np.ndarray:
