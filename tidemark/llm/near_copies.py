@@ -4,8 +4,8 @@ A document is the set of its shingles of five words (lower case, between spaces)
 shingle. Documents with equal sets are one class. Band and row counts are chosen for a target recall at the wanted
 similarity; classes that agree in a band are joined to the least of them, and connected classes come together in
 tasks of bounded size, where the pairs that share a band are verified on their full sets. Counts of links and the edges
-of a spanning forest leave those tasks, never all pairs. Each set is shuffled once for each block of its component,
-which is one for all but very large components.
+of a spanning forest leave those tasks, never all pairs. Each set is shuffled once for each block of its component;
+a component of up to BLOCK_CLASSES classes and BLOCK_SHINGLES shingles is one block.
 
 Defined cases: a null text is empty; texts without words are one class; repeated rows are in one class; a null
 doc_id is ignored as class id unless all ids of a class are null; ties of ids cannot change the result; empty tables give no
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Memo, attach, connected, grouped, map_rows, settle, text_of
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 4
-#: Shingles that one block of a component may have.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles and classes that one block of a component has on average at most; every two blocks meet in a task of their own.
+BLOCK_SHINGLES, BLOCK_CLASSES = 1_000_000, 512
 PRIME = np.uint64((1 << 61) - 1)
 
 
@@ -98,7 +98,8 @@ def links(documents: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     near = attach(keyed, least, ["band", "hash"], n_keys).select(F.col("class_key").alias("a"), F.col("least").alias("b"))
     component = connected(near).select(F.col("node").alias("class_key"), "root")
     placed = classes.join(component, "class_key").select("class_key", "root", "copies", "n_shingles", "bands", "doc_id", "text_hash")
-    sizes = placed.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int")
+    sizes = placed.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     placed = settle(attach(placed, sizes, ["root"], n_classes).drop("n").withColumn("b", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")))
 
     # the text of one document of each class, for the full set
