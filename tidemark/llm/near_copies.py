@@ -93,11 +93,11 @@ def links(documents: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     """Verified links: rows (class_key, other, copies, n). With `other` null: the class has n links to classes which have `copies`
     documents together, found in one block; else an edge of a spanning forest of the links. `classes` has class_key, copies, n_shingles, bands."""
     keyed = classes.select("class_key", F.posexplode("bands").alias("band", "hash"))
-    least = keyed.groupBy("band", "hash").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = settle(keyed.groupBy("band", "hash").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1"))
     n_classes, n_keys = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
     near = attach(keyed, least, ["band", "hash"], n_keys).select(F.col("class_key").alias("a"), F.col("least").alias("b"))
     component = connected(near).select(F.col("node").alias("class_key"), "root")
-    placed = classes.join(component, "class_key").select("class_key", "root", "copies", "n_shingles", "bands", "doc_id", "text_hash")
+    placed = settle(classes.join(component, "class_key").select("class_key", "root", "copies", "n_shingles", "bands", "doc_id", "text_hash"))
     blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int")
     sizes = placed.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     placed = settle(attach(placed, sizes, ["root"], n_classes).drop("n").withColumn("b", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")))
@@ -175,7 +175,8 @@ def classed(documents: DataFrame, similarity: float = SIMILARITY, recall: float
     counts = found.where("other is null").groupBy("class_key").agg(F.sum("copies").alias("reach"), F.sum("n").alias("n"))
     groups = connected(found.where("other is not null").select(F.col("class_key").alias("a"), F.col("other").alias("b"))).select(
         F.col("node").alias("class_key"), F.col("root").alias("group_key"))
-    joined = classes.join(counts, "class_key", "left").join(groups, "class_key", "left").withColumn("group_key", F.coalesce("group_key", "class_key"))
+    joined = settle(classes.drop("n_shingles", "bands").join(counts, "class_key", "left").join(groups, "class_key", "left").withColumn(
+        "group_key", F.coalesce("group_key", "class_key")))
     ids = joined.groupBy("group_key").agg(F.min("class_id").alias("group_id"), F.count("*").alias("n_classes"))
     return rows.select("doc_id", "text_hash", "class_key"), settle(attach(joined, ids, ["group_key"], classes.count(), "n_classes").select(
         "class_key", "group_key", "class_id", "group_id", "copies", (F.col("copies") - 1 + F.coalesce("reach", F.lit(0))).alias("n_links"),
@@ -195,7 +196,9 @@ def keep_one(documents: DataFrame, similarity: float = SIMILARITY, recall: float
     """The documents with one row of each group left, and all their columns."""
     _, classes = classed(documents, similarity, recall)
     kept = classes.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).select(
-        F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
-    hashed = documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64(text_of()))
-    return hashed.join(kept, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))).dropDuplicates(["_id", "_text"]).select(
-        *[F.col(f"`{c}`") for c in documents.columns])
+        F.col("first.none").alias("_none"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.text_hash").alias("_hash"))
+    number = F.col("doc_id").cast("long")
+    hashed = documents.select(F.struct(*[f"`{c}`" for c in documents.columns]).alias("row"), number.isNull().alias("_none"),
+                              F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(text_of()).alias("_hash"))
+    # repeated rows are dropped by the keys of the join, so that texts are shuffled once
+    return hashed.join(kept, ["_none", "_id", "_hash"]).dropDuplicates(["_none", "_id", "_hash"]).select("row.*")
