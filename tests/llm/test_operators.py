@@ -361,6 +361,31 @@ def test_block_tables_find_all(spark, monkeypatch):
         assert got == {k: v for k, v in want.items() if v[1]}
 
 
+def test_near_copies_lie_within_the_wide_radius(spark):
+    make, sets = fingerprints.hasher(), {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts(spark))}
+    marks = {i: make(t) for i, t in texts(spark)}
+    got = {r["doc_id"]: r["n_wide"] for r in queries.op9_fingerprints(spark, SF).collect()}
+    assert got == {i: sum(0 < (m ^ o).bit_count() <= 9 for o in marks.values()) for i, m in marks.items()}
+    alike = [(a, b) for a, b in combinations(sets, 2) if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert alike and all(0 < (marks[a] ^ marks[b]).bit_count() <= 9 and got[a] and got[b] for a, b in alike)
+
+
+def test_wide_block_tables_find_all(spark, monkeypatch):
+    draw = random.Random(3)
+    marks = {draw.getrandbits(64) for _ in range(8)}
+    for m in list(marks):
+        for _ in range(12):
+            marks.add(m ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(1, 13))))
+    df = spark.createDataFrame([(f"{m:016x}", 1 + m % 3) for m in marks], "fingerprint string, copies long")
+    count = lambda m, r: sum(1 + o % 3 for o in marks if 0 < (m ^ o).bit_count() <= r)
+    want = {f"{m:016x}": (count(m, 3), count(m, 9)) for m in marks if count(m, 9)}
+    for blocks, block in ((10, 4096), (10, 5), (11, 5), (None, 4096)):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        got = {r["fingerprint"]: (r["n_near"], r["n_wide"]) for r in fingerprints.near(df, blocks=blocks, wide=9).collect()}
+        assert got == want
+    assert fingerprints.blocks_for(10_000, 9) < fingerprints.blocks_for(10_000_000, 9)
+
+
 def test_fingerprints_odd_input(spark, monkeypatch):
     docs = odd_documents(spark)
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)

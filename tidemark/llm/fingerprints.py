@@ -10,6 +10,10 @@ fingerprints are grouped by those blocks and compared within the group. Equal fi
 the first table in which it meets, so no pairs are stored; groups over `BLOCK` entries are compared block by block
 in tasks of their own.
 
+Three bits hold few of the documents that share four fifths of their five-word shingles; nine bits held all of them where
+it was measured (README). `search` therefore counts both: n_near within RADIUS, n_wide within WIDE. One search finds both, in
+tables for WIDE; how many blocks they have follows from the number of fingerprints, and any choice finds every pair.
+
 Defined cases: a null text is empty; a text without words has the fingerprint 0; terms that balance leave a bit 0; repeated
 rows are documents of their own; rows that tie in doc_id follow each other by text, and a null doc_id comes after all
 others; the empty table gives no rows; other columns are ignored.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import xxhash
@@ -27,6 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Memo, attach, grouped, settle, text_of
 
 BITS, RADIUS, BLOCKS = 64, 3, 5
+#: Bits within which near copies (similarity 0.8 of five-word shingles) lie.
+WIDE = 9
+#: What an entry of a table costs, in comparisons: it is shuffled, a comparison is not.
+ENTRY_COST = 1_000
 #: Entries that one task compares with each other or with as many others.
 BLOCK = 4096
 #: Documents that should lie in one range of doc_id.
@@ -136,10 +145,21 @@ def masks(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(bits, blocks - radius)]
 
 
-def near(marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """The number of blocks with which the tables of n fingerprints cost least: more blocks make more tables of smaller groups."""
+    def cost(blocks: int) -> float:
+        meet = n / 2 ** (BITS * (blocks - radius) / blocks)
+        return math.comb(blocks, radius) * (ENTRY_COST * max(1.0, meet / BLOCK) + meet / 2)
+    return min(range(radius + 1, radius + 5), key=cost)
+
+
+def near(marks: DataFrame, radius: int = RADIUS, blocks: int | None = BLOCKS, wide: int | None = None) -> DataFrame:
     """For distinct fingerprints (column `fingerprint`, 16 hex digits, and `copies`): fingerprint, n_near (documents
-    with another fingerprint within the radius) and n_near_marks (such fingerprints). Those without any are left out."""
-    tables = masks(radius, blocks)
+    with another fingerprint within the radius), n_near_marks (such fingerprints) and, if `wide` (a larger radius) is given,
+    n_wide (documents within it). Those without any are left out. `blocks`: None chooses them by the number of fingerprints."""
+    reach = radius if wide is None else wide
+    n_marks = marks.count()
+    tables = masks(reach, blocks or blocks_for(n_marks, reach))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     high = F.shiftleft(F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long"), 32)
     value = high.bitwiseOR(F.conv(F.substring("fingerprint", 9, 8), 16, 10).cast("long"))
@@ -149,12 +169,12 @@ def near(marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
     ).select(F.col("x.t").alias("t"), F.col("x.key").alias("key"), "mark", "copies")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     # a group of n entries is cut into blocks; every two blocks meet in one task
-    cut = attach(keyed, sizes, ["t", "key"], entries.count() * len(tables)).withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("mark"), F.col("of")))
+    cut = attach(keyed, sizes, ["t", "key"], n_marks * len(tables)).withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("mark"), F.col("of")))
     met = cut.select("t", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("o"), "b", "mark", "copies").select(
         "t", "key", F.least("o", "b").alias("i"), F.greatest("o", "b").alias("j"), "b", "mark", "copies")
 
     def make():
-        wide = np.array(tables, np.uint64)
+        bits = np.array(tables, np.uint64)
 
         def rows(key, parts):
             import pyarrow as pa
@@ -164,32 +184,36 @@ def near(marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
             mark = both.column("mark").to_numpy().astype(np.int64).view(np.uint64)
             copies, b = both.column("copies").to_numpy(), both.column("b").to_numpy()
             left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-            near_, marks_ = np.zeros(len(mark), np.int64), np.zeros(len(mark), np.int64)
+            near_, marks_, wide_ = (np.zeros(len(mark), np.int64) for _ in range(3))
             for k in range(0, len(left), 256):
                 rows_ = left[k:k + 256]
                 x = mark[rows_][:, None] ^ mark[right][None, :]
-                p, q = np.nonzero((np.bitwise_count(x) <= radius) & (x != 0))
-                met_first = np.argmax((x[p, q][:, None] & wide[None, :]) == 0, axis=1) == t
-                p, q = p[met_first], q[met_first]
-                np.add.at(near_, rows_[p], copies[right[q]])
-                np.add.at(marks_, rows_[p], 1)
-                if i != j:
-                    np.add.at(near_, right[q], copies[rows_[p]])
-                    np.add.at(marks_, right[q], 1)
-            for k in np.flatnonzero(marks_):
-                yield int(mark[k].astype(np.int64)), int(near_[k]), int(marks_[k])
+                p, q = np.nonzero((np.bitwise_count(x) <= reach) & (x != 0))
+                x = x[p, q]
+                for m in bits[:t]:  # pairs that met in an earlier table
+                    new = (x & m) != 0
+                    p, q, x = p[new], q[new], x[new]
+                inner = np.bitwise_count(x) <= radius
+                for a, b_ in ((rows_[p], right[q]), (right[q], rows_[p]))[:1 if i == j else 2]:
+                    np.add.at(wide_, a, copies[b_])
+                    np.add.at(near_, a[inner], copies[b_[inner]])
+                    np.add.at(marks_, a[inner], 1)
+            for k in np.flatnonzero(wide_):
+                yield int(mark[k].astype(np.int64)), int(near_[k]), int(marks_[k]), int(wide_[k])
         return rows
 
-    found = grouped(met, ["t", "key", "i", "j"], ["b", "mark"], make, "mark long, n_near long, n_near_marks long")
-    return found.groupBy("mark").agg(F.sum("n_near").alias("n_near"), F.sum("n_near_marks").alias("n_near_marks")).select(
-        F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "n_near", "n_near_marks")
+    found = grouped(met, ["t", "key", "i", "j"], ["b", "mark"], make, "mark long, n_near long, n_near_marks long, n_wide long")
+    names = ["n_near", "n_near_marks", *(["n_wide"] if wide is not None else [])]
+    return found.groupBy("mark").agg(*[F.sum(c).alias(c) for c in names]).select(
+        F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), *names)
 
 
 def search(documents: DataFrame) -> DataFrame:
-    """`fingerprints` with n_copies (other documents with the fingerprint) and n_near (those within the radius besides)."""
+    """`fingerprints` with n_copies (other documents with the fingerprint), n_near (those within RADIUS besides) and n_wide (those
+    within WIDE besides, which holds the near copies)."""
     marked = settle(fingerprints(documents))
     counts = settle(marked.groupBy("fingerprint").agg(F.count("*").alias("copies")))
-    found = counts.join(near(counts), "fingerprint", "left").select(
-        "fingerprint", "copies", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    found = counts.join(near(counts, blocks=None, wide=WIDE), "fingerprint", "left").select(
+        "fingerprint", "copies", (F.col("copies") - 1).alias("n_copies"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_near", "n_wide")])
     return attach(marked, found, ["fingerprint"], marked.count(), "copies").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                                                    "near_edited", "near_next", "n_copies", "n_near")
+                                                    "near_edited", "near_next", "n_copies", "n_near", "n_wide")
