@@ -122,6 +122,15 @@ def test_secrets_are_learned_and_masked(spark):
     assert out[0]["text"] == rows[0][1] and out[200]["n_chars"] == len(out[200]["text"]) and out[0]["found"] == "n"
 
 
+@pytest.mark.parametrize("text, name", [('{"name":"Peter Schmidt","age":4}', "Peter Schmidt"), ("seen (Laura Braun, Bonn)", "Laura Braun"), ("contact:Hans Weber", "Hans Weber"),
+                                        ("[Marie Curie]", "Marie Curie"), ("Anna-Petra Vogel", "Petra Vogel"), ("«José Ortega»", "José Ortega")])
+def test_names_after_punctuation_are_proposed(text, name):
+    at = text.index(name)
+    assert (personal.NAME, at, at + len(name)) in [c[:3] for c in personal.candidates(text, personal.base_spans(text))]
+    pattern = personal.candidates(text, [])[0][3]
+    assert personal.mask(text, frozenset([pattern])) == text.replace(name, "[NAME]")
+
+
 def test_estimation_tells_labelers_apart():
     counts = {"5|+++0|000": 80, "5|++00|000": 20, "5|00--|000": 300, "5|0+0-|000": 40, "5|0000|000": 30}
     right, rates = personal.estimate(counts)

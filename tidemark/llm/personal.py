@@ -36,6 +36,7 @@ DIGIT = re.compile(r"[0-9]")
 
 GROUPED = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 TOKEN = re.compile(r"[A-Za-z0-9_]+")
+WORD = re.compile(r"\w+")
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme)\b\.? +([A-ZÄÖÜÉÈÁÍÓÚÑ]\w+(?: [A-ZÄÖÜÉÈÁÍÓÚÑ]\w+)?)")
 KEY_FORMS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}")
 FIRST_NAMES = ("James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Susan Richard Thomas Sarah Charles "
@@ -135,8 +136,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for m in TITLED.finditer(text):
         first = m[1].split()[0]
         propose(NAME, *m.span(1), vote(" " in m[1]), vote(first in GAZETTEER), "+")
-    words = text.split()
-    for name in GAZETTEER.intersection(words):
+    for name in GAZETTEER.intersection(WORD.findall(text)):
         for m in re.finditer(rf"\b{name} [A-ZÄÖÜÉÈÁÍÓÚÑ]\w+", text):
             propose(NAME, *m.span(), "+", "+", "0")
     starts = sorted((s, e) for _, s, e in base)
