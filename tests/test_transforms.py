@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +227,21 @@ def test_types(spark):
     assert not apply_transform(df, "type_conversion", {"method": "to_numeric"}).success
 
 
+def test_day_order_of_dates_with_a_time_or_a_short_year(spark):
+    df = frame(spark, "d string, m string, y string, c string, h string",
+               ("15/06/2024 10:00:00", "06/15/2024 10:00:00", "15/06/24", "20240115", "25-12-2024"),
+               ("05/06/2024 10:00:00", "05/06/2024 10:00:00", "05/06/69", "20241301", "05-06-2024"),
+               ("31/02/2024 10:00:00", None, "31/04/24", "2024011", "5-6-2024"))
+    names = ["d", "m", "y", "c", "h"]
+    got = [[None if v is None else str(v) for v in r] for r in apply_transform(df, "date_parse", {"columns": names}).df.collect()]
+    assert got == [["2024-06-15 10:00:00", "2024-06-15 10:00:00", "2024-06-15 00:00:00", "2024-01-15 00:00:00", "2024-12-25 00:00:00"],
+                   ["2024-06-05 10:00:00", "2024-05-06 10:00:00", "1969-06-05 00:00:00", None, "2024-06-05 00:00:00"],
+                   [None] * 5]
+    whole = df.where("d not like '31%'").select("d")
+    assert apply_transform(whole, "type_conversion", {"column": "d", "method": "to_datetime"}).df.collect()[1][0] == datetime.datetime(2024, 6, 5, 10)
+    assert detect_date_columns(whole) == ["d"]
+
+
 def test_one_date_layout_per_column(spark):
     df = spark.createDataFrame([("05/06/2024", "05/06/2024"), ("15/06/2024", "05/16/2024"), (None, "")], "d string, m string")
     got = apply_transform(df, "date_parse", {"columns": ["d", "m"]}).df.collect()

@@ -19,15 +19,16 @@ DIRECTIVES = {
 # shape keeps text that is no date away from the parser, whose failures are slow.
 LAYOUTS = [
     ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
-    ("MM/dd/yyyy", r"^(0[1-9]|1[0-2])/\d{2}/\d{4}$"),
-    ("dd/MM/yyyy", r"^\d{2}/(0[1-9]|1[0-2])/\d{4}$"),
-    ("MM-dd-yyyy", r"^(0[1-9]|1[0-2])-\d{2}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{4}(0[1-9]|1[0-2])\d{2}$"),
     ("dd MMM yyyy", r"^\d{2} [A-Z][a-z]{2} \d{4}$"),
     ("MMM dd, yyyy", r"^[A-Z][a-z]{2} \d{2}, \d{4}$"),
     ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("MM/dd/yyyy HH:mm:ss", r"^(0[1-9]|1[0-2])/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"),
 ]
 
+# The shape of dates that begin with the month or the day (05/06/2024, 05-06-2024, 05/06/24), with or without a
+# time; and the first of the two-digit years that are of the last century, as in strptime.
+DAY_OR_MONTH, LAST_CENTURY = r"^(\d{2})([/-])(\d{2})\2(\d{4}|(?<=/)\d{2})( \d{2}:\d{2}:\d{2})?$", "69"
+
 
 def java_pattern(fmt: str) -> str:
     """Translate a strptime/strftime format to a Java date pattern."""
@@ -50,23 +51,27 @@ def java_pattern(fmt: str) -> str:
     return "".join(out)
 
 
-DAY_FIRST, MONTH_FIRST = r"^(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/\d{4}$", r"^(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/\d{4}"
+def in_order(text: Column, day_first: bool) -> Column:
+    """Text of the shape DAY_OR_MONTH, read with the day or the month first; null where it can't be."""
+    iso = F.regexp_replace(text, DAY_OR_MONTH, "$4-$3-$1$5" if day_first else "$4-$1-$3$5")
+    century = F.when(~iso.rlike(r"^\d{2}-"), "").when(F.substring(iso, 1, 2) >= LAST_CENTURY, "19").otherwise("20")
+    return F.when(text.rlike(DAY_OR_MONTH), F.concat(century, iso).try_cast("timestamp_ntz"))
 
 
 def day_first(df: DataFrame, names: list[str]) -> dict[str, bool]:
-    """Whether dates such as 05/06/2024 begin with the day: one answer for a whole column, yes if more of its values can only
-    be read with the day first than only with the month first. All columns are counted in one pass."""
+    """Whether dates such as 05/06/2024 begin with the day: one answer for a whole column, yes if more of its values, with
+    a time or without, can be read with the day first than with the month first. All columns are counted in one pass."""
     texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
     if not texts:
         return {}
     row = df.agg(*[e for i, c in enumerate(texts) for e in (
-        F.count_if(col(c).rlike(DAY_FIRST)).alias(f"d{i}"), F.count_if(col(c).rlike(MONTH_FIRST)).alias(f"m{i}"))]).first()
+        F.count(in_order(col(c), True)).alias(f"d{i}"), F.count(in_order(col(c), False)).alias(f"m{i}"))]).first()
     return {c: row[f"d{i}"] > row[f"m{i}"] for i, c in enumerate(texts)}
 
 
 def as_timestamp(df: DataFrame, name: str, fmt: str | None = None, day_first: bool = False) -> Column:
-    """The column as a naive timestamp; text that does not parse becomes null. With `day_first`, dd/MM/yyyy goes before
-    MM/dd/yyyy where both can be read."""
+    """The column as a naive timestamp; text that does not parse becomes null. With `day_first`, the day goes before
+    the month where both orders can be read."""
     dtype = df.schema[name].dataType
     if is_datetime(dtype):
         return col(name).cast("timestamp_ntz")
@@ -75,10 +80,9 @@ def as_timestamp(df: DataFrame, name: str, fmt: str | None = None, day_first: bo
     text = col(name)
     if fmt:
         return F.try_to_timestamp(text, F.lit(java_pattern(fmt))).cast("timestamp_ntz")
-    tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz")) for p, shape in (
-        sorted(LAYOUTS, key=lambda x: x[0] != "dd/MM/yyyy") if day_first else LAYOUTS)]
-    return F.when(text.rlike(r"\d{4}"), F.coalesce(*tries))
+    tries = [F.when(text.rlike(r"\d{4}"), text.try_cast("timestamp_ntz")), in_order(text, day_first), in_order(text, not day_first)]
+    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz")) for p, shape in LAYOUTS]
+    return F.coalesce(*tries)
 
 
 def micros(ts: Column) -> Column:
