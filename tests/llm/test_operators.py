@@ -261,6 +261,22 @@ def test_shards_are_even_and_gapless(spark, hot):
     assert sizes.max() - sizes.min() <= 2 * max(r["size"] for r in got) + 0.02 * sizes.mean()
 
 
+def test_a_text_of_many_rows_and_few_bytes_is_parted(spark, monkeypatch):
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.repeat("text", 3)).alias("text"))
+    cells, settled = [], sharding.settle
+    def spy(df):
+        out = settled(df)
+        if {"range", "sub"} <= set(df.columns):
+            cells.append(out.orderBy("rows_before").select("rows_before").toPandas()["rows_before"].tolist())
+        return out
+    monkeypatch.setattr(sharding, "settle", spy)
+    got, n = sharding.shard(docs).collect(), docs.count()
+    assert max(np.diff([*cells[0], n])) < n / 20  # the rows of one cell are sorted by one task
+    assert len({r["shard"] for r in got if r["size"] == 1}) == 1 and sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.collect())
+    for k in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
 def test_sharding_odd_input(spark):
     docs = odd_documents(spark)
     got = sharding.shard(docs).collect()

@@ -3,7 +3,7 @@
 Records are ordered by a hash of their text, so equal texts lie together. A sample in which a record counts as often
 as its size warrants gives the keys at even quantiles; those splitters cut the order into ranges. The size of every
 range is then counted exactly, and a range that is overfull is subdivided: by a second hash of the text, or, where
-one text (a large group of copies) fills it, by the document's id. Exact prefix sums over the ranges give each record
+one text (a large group of copies) fills it, in bytes or in rows, by the document's id. Exact prefix sums over the ranges give each record
 its place in bytes, and the place gives the shard, so sizes are near equal whatever the sample was.
 
 Copies of a text stay in one shard while they are at most a hundredth of a shard together; larger groups are cut where
@@ -30,19 +30,21 @@ SAMPLES_PER_RANGE = 16
 WHOLE_GROUP = 0.01
 
 
-def sampled_splitters(records: DataFrame, ranges: int, total: int) -> tuple[list[int], list[int]]:
-    """Keys at even quantiles of the sizes, and the keys that alone fill a range, from a size-weighted sample.
+def sampled_splitters(records: DataFrame, ranges: int, total: int, n: int) -> tuple[list[int], list[int]]:
+    """Keys at even quantiles of the sizes, and the keys that alone fill a range in bytes or in rows, from a sample.
 
-    A record is drawn with a chance in proportion to its size; one larger than the sampling step is always drawn
-    and counts with its size. The draw is a hash of the record, so a task that runs again draws the same."""
-    step = max(1.0, total / (ranges * SAMPLES_PER_RANGE))
+    A record is drawn with a chance in proportion to its size, or with that of a row where it is more; one larger than the
+    sampling step is always drawn. What is drawn counts with its size, and as a row, over its chance. The draw is a hash of
+    the record, so a task that runs again draws the same."""
+    step, row_step = (max(1.0, x / (ranges * SAMPLES_PER_RANGE)) for x in (total, n))
+    share = F.least(F.lit(1.0), F.greatest(F.col("size") / step, F.lit(1 / row_step)))
     chance = F.pmod(F.xxhash64("key", "doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = (records.where(chance * step < F.col("size")).groupBy("key").agg(F.sum(F.greatest(F.col("size").cast("double"), F.lit(step))).alias("w"))
+    drawn = (records.where(chance < share).groupBy("key").agg(F.sum(F.col("size") / share).alias("w"), F.sum(1 / share).alias("c"))
              .orderBy("key").collect())
     weight = sum(r["w"] for r in drawn)
     cuts, hot, run = [], [], 0.0
     for r in drawn:
-        if r["w"] * ranges >= weight and len(drawn) > 1:
+        if r["w"] * ranges >= weight or r["c"] * ranges >= n:
             hot.append(r["key"])
         before, run = run, run + r["w"]
         if int(before * ranges / weight) != int(run * ranges / weight) and r["w"] * ranges < weight:
@@ -74,7 +76,7 @@ def shard(documents: DataFrame, shards: int = 8, law: str = "bytes") -> DataFram
                                       F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key")))
     n, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(MAX_RANGES, max(MIN_RANGES, -(-n // ROWS_PER_RANGE)))
-    cuts, hot = sampled_splitters(records, ranges, total)
+    cuts, hot = sampled_splitters(records, ranges, total, n)
     ranged = records.withColumn("range", range_of(F.col("key"), cuts))
 
     # exact sizes of ranges; those with over twice their share are subdivided
@@ -82,6 +84,12 @@ def shard(documents: DataFrame, shards: int = 8, law: str = "bytes") -> DataFram
     hot_ranges = {bisect.bisect_right(cuts, k) for k in hot}
     parts = {r["range"]: max(-(-r["bytes"] * ranges // max(total, 1)), -(-r["rows"] * ranges // max(n, 1)), 1) for r in counted}
     split = {k: p for k, p in parts.items() if p > 2}
+    # a hot text is a range by itself; one of few bytes stays whole, wherever its parts are sorted
+    centres, before = {}, 0
+    for k, size in sorted((r["range"], r["bytes"]) for r in counted):
+        if k in split and k in hot_ranges and size <= WHOLE_GROUP * total / shards:
+            centres[k] = before + size / 2
+        before += size
     by = lambda chosen: F.create_map(*[F.lit(x) for k, p in chosen.items() for x in (k, p)]) if chosen else None
     text_parts = by({k: p for k, p in split.items() if k not in hot_ranges})
     copy_parts = by({k: p for k, p in split.items() if k in hot_ranges})
@@ -104,7 +112,8 @@ def shard(documents: DataFrame, shards: int = 8, law: str = "bytes") -> DataFram
               .withColumn("group_end", F.max("end").over(group)).withColumn("group_bytes", F.sum("size").over(group))
               .join(F.broadcast(starts), ["range", "sub"]))
     whole = F.col("group_bytes") <= WHOLE_GROUP * total / shards
-    middle = F.col("bytes_before") + F.when(whole, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
+    inside = F.col("bytes_before") + F.when(whole, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
+    middle = F.coalesce(F.try_element_at(by(centres), "range"), inside) if centres else inside
     sharded = settle(placed.select("doc_id", "size", "text_crc32",
                                    F.least(F.floor(middle * shards / max(total, 1)), F.lit(shards - 1)).cast("int").alias("shard"),
                                    (F.col("rows_before") + F.col("place")).alias("rank")))
