@@ -163,6 +163,26 @@ def test_classifiers_on_odd_input(spark, score, label):
     assert score(docs.limit(0), labels).count() == 0
 
 
+def test_a_repeated_id_is_one_example(spark, monkeypatch):
+    docs = documents(spark)
+    one = common.load(spark, SF, "labels").where("quality in (0, 1) and toxic in (0, 1) and doc_id % 3 <> 1").orderBy("doc_id").first()["doc_id"]
+    again = docs.where(F.col("doc_id") == one)
+    many = docs.unionByName(again.crossJoin(spark.range(400).select())).unionByName(again.withColumn("text", F.concat("text", F.lit(" and more"))))
+    labels, sizes, fits = common.load(spark, SF, "labels"), [], (quality.fit, toxicity._fit)
+    monkeypatch.setattr(quality, "fit", lambda x, y: (sizes.append(len(y)), fits[0](x, y))[1])
+    monkeypatch.setattr(toxicity, "_fit", lambda x, y: (sizes.append(len(y)), fits[1](x, y))[1])
+    for score, of in ((quality.score, {"parts": 3, "held_out": 9}), (toxicity.score, {"parts": 5, "held_out": 9})):
+        sizes.clear()
+        score(docs, labels, **of).count(), score(many, labels, **of).count()
+        assert sizes[0] == sizes[1] > 0
+
+
+def test_all_cues_that_pass_are_kept(spark):
+    words = [" ".join(f"w{k}x" for k in range(6_000)), "plain text here"]
+    examples = spark.createDataFrame([(f"{words[0]} {n}n", 1) for n in range(40)] + [(f"{words[1]} {n}n", 0) for n in range(40)], "text string, y int")
+    assert {f"w{k}x$" for k in range(6_000)} <= set(toxicity.learn_cues(examples))
+
+
 def test_grammar_hears_clauses():
     machine = toxicity.MACHINE
     end = lambda *classes: machine.say[[s := 0, *[s := machine.step[s][c] for c in classes]][-1]]  # noqa: E731, F841

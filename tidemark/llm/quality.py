@@ -111,9 +111,15 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     return Model(weights, float(cut), float(max(steep, 1e-3)))
 
 
+def one_each(examples: DataFrame, features: list[str]) -> DataFrame:
+    """doc_id, y and features, one row for each id, however many rows have it: all of them count in the mean of its features."""
+    mean = lambda f: F.when(F.min(f) == F.max(f), F.min(f)).otherwise(F.avg(f)).alias(f)
+    return examples.groupBy("doc_id", "y").agg(*map(mean, features))
+
+
 def learn(featured_labelled: DataFrame) -> Model:
-    """The model from labelled rows (`featured` with y), bounded by MAX_LABELLED when they were chosen."""
-    got = featured_labelled.where("has_words").select("doc_id", "y", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
+    """The model from labelled rows (`featured` with y), whose ids were bounded by MAX_LABELLED when they were chosen."""
+    got = one_each(featured_labelled.where("has_words"), FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
     return fit(got[FEATURES].to_numpy(float).reshape(len(got), len(FEATURES)), got["y"].to_numpy())
 
 

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Memo, arrow_schema, fold, logistic, map_rows, text_of
-from .quality import bounded, labelled
+from .quality import bounded, labelled, one_each
 
 #: At most about so many labelled documents are learned from, and at most so many cues are kept.
-MAX_LABELLED, MAX_CUES = 20_000, 4_096
+MAX_LABELLED = 20_000
 #: Letters of a word beginning that may be a cue; a cue must occur in so many toxic documents, with this G statistic.
 PREFIXES, MIN_DOCUMENTS, MIN_G = range(3, 8), 4, 28.0
 
@@ -160,7 +160,7 @@ def learn_cues(examples: DataFrame) -> dict[str, float]:
         odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
         if g >= MIN_G and odds > np.log(8):
             found.append((g, r["cue"], float(odds)))
-    return {cue: odds for _, cue, odds in sorted(found, key=lambda x: (-x[0], x[1]))[:MAX_CUES]}
+    return {cue: odds for _, cue, odds in sorted(found, key=lambda x: (-x[0], x[1]))}
 
 
 def score(documents: DataFrame, labels: DataFrame, column: str = "toxic", parts: int = 5, held_out: int = 0) -> DataFrame:
@@ -182,7 +182,8 @@ def score(documents: DataFrame, labels: DataFrame, column: str = "toxic", parts:
         return rows
 
     columns = ", ".join(f"{f} double" for f in FEATURES)
-    got = map_rows(examples.select("doc_id", "text", "y"), make, f"doc_id long, y int, {columns}").toPandas().sort_values(["doc_id", *FEATURES])
+    read_ = map_rows(examples.select("doc_id", "text", "y"), make, f"doc_id long, y int, {columns}")
+    got = one_each(read_, FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
     x, y = got[FEATURES].to_numpy(float), got["y"].to_numpy(float)
     if len(set(y)) == 2:
         beta = np.append(*_fit(x, y))
