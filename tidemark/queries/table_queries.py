@@ -308,5 +308,14 @@ def quality_stream(spark, sf):
     return naive(rounded(spark.read.parquet(path)))
 
 
+@query("quality_stream_flushed", METRICS)
+def quality_stream_flushed(spark, sf):
+    table = load(spark, sf, "events")
+    events = quality.stream_table(spark, sf, "events.parquet", table.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = fresh_path(spark, "windows")
+    quality.run_available(metrics(watched(events), lateness="10 minutes"), path)
+    return naive(rounded(quality.with_open_windows(metrics(watched(table.withColumn("ts", F.col("ts").cast("timestamp")))), path, ["event_type"])))
+
+
 def naive(df):
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c.startswith("window_") else F.col(c) for c in df.columns])

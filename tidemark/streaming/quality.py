@@ -44,6 +44,14 @@ def run_available(metrics: DataFrame, path: str, checkpoint: str | None = None)
     return query
 
 
+def with_open_windows(metrics: DataFrame, path: str, keys: list[str] | None = None) -> DataFrame:
+    """The final flush: the windows that `run_available` wrote to `path`, and those of `metrics`, the same metrics over the table, that no
+    later row has closed. The folder stays as it is, so a later run may still write them with their last rows."""
+    written = metrics.sparkSession.read.schema(metrics.schema).parquet(path)
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("window_start", "window_end", *(keys or []))]
+    return written.unionByName(metrics.alias("m").join(written.alias("w"), same, "left_anti"))
+
+
 def stream_table(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 100) -> DataFrame:
     """New Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern) \
