@@ -231,6 +231,14 @@ def test_decontamination_finds_planted_items(spark, monkeypatch):
     assert tiling.split(df, benchmark.limit(0)).where("contaminated").count() == 0 and tiling.split(df.limit(0), benchmark).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Who wrote Don Quixote?"), (2, "What is the capital of France?"), (3, "two words"), (4, "How many legs does a spider have?")]
+    rows = [(1, "he asked: who wrote don quixote, and when"), (2, "What is the capital of all France?"), (3, "two words"), (4, "what is the capital of France, how many legs does a spider have"), (5, "who wrote don"), (6, None)]
+    df, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["coverage"], r["item_id"], r["n_items"]) for r in tiling.split(df, benchmark).collect()}
+    assert got == {1: (True, 1.0, 1, 1), 4: (True, 1.0, 2, 2), **{k: (False, 0.0, None, 0) for k in (2, 3, 5, 6)}}
+
+
 def test_decontamination_query_against_brute_force(spark):
     items = [(r["item_id"], tiling.words_of(r["text"])) for r in common.load(spark, SF, "benchmark").collect()]
     got = {r["doc_id"]: r for r in queries.op4_decontaminate(spark, SF).collect()}

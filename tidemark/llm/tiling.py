@@ -8,8 +8,8 @@ put in another order are found too.
 Words are lower-case stretches between spaces without the punctuation at their ends. The benchmark is read in blocks of
 bounded size; each is broadcast and all documents pass it, so an item may be found in a document of any length.
 
-Defined cases: a null text is empty and clean; items of fewer words than `MIN_WORDS` (or null) cannot prove anything and are
-left out; repeated items and rows are judged each; of items with equal coverage the least item_id is reported;
+Defined cases: a null text is empty and clean; items of fewer words than `MIN_WORDS` are found only where all their words follow
+each other (coverage 1); those of fewer than `MIN_MATCH` (or null) have no seed and are left out; repeated items and rows are judged each; of items with equal coverage the least item_id is reported;
 empty tables give no rows, or clean documents; `split` keeps all columns of the documents, whatever their names, other than
 `contaminated`, `coverage`, `item_id`, `n_items`, which it replaces.
 """
@@ -88,10 +88,10 @@ class Benchmark:
     """Items as word ids, and an index of their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int, least: int):
-        self.least, self.vocabulary, self.ids, self.items = least, {}, [], []
+        self.min_words, self.least, self.vocabulary, self.ids, self.items = min_words, least, {}, [], []
         for item_id, text in items:
             words = words_of(text or "")
-            if len(words) >= max(min_words, least):
+            if len(words) >= least:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         seeds = [(h, k, at) for k, item in enumerate(self.items) for at, h in enumerate(window_hashes(item, least).tolist())]
@@ -126,9 +126,10 @@ class Benchmark:
                 spots[item].append(int(at[k]))
         found = []
         for item, mask in covered.items():
-            if mask.sum() >= threshold * len(mask):  # tiles are made of seeds, so they cover no more than seeds do
+            need = threshold if len(mask) >= self.min_words else 1.0
+            if mask.sum() >= need * len(mask):  # tiles are made of seeds, so they cover no more than seeds do
                 share = sum(n for _, _, n in tile(self.near(ids, spots[item]), self.items[item], self.least)) / len(mask)
-                if share >= threshold:
+                if share >= need:
                     found.append((self.ids[item], share))
         return found
 
