@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, near_copies, packing, personal, quality, sharding, tiling, toxicity, url_filter
+from . import article, chat, fingerprints, merkle, near_copies, negatives, packing, personal, quality, sharding, tiling, toxicity, url_filter
 from .common import load
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -54,8 +54,20 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.mine(load(spark, sf, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return article.extract(load(spark, sf, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_personal_data, op3_toxicity, op4_decontaminate, op5_url_rules, op6_shard,
-                                   op7_near_copies, op8_quality, op9_fingerprints, op10_pack)}
+                                   op7_near_copies, op8_quality, op9_fingerprints, op10_pack, op11_manifest, op12_hard_negatives, op13_main_text)}
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 ORACLES = {
@@ -78,4 +90,54 @@ ORACLES = {
         fits AS (SELECT k, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(h) + length(p) DESC, length(h) DESC) AS place
                  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT JOIN fits ON fits.k = urls.k AND place = 1""",
+    "op11_manifest": """
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS k, doc_id, source, lang, n_chars, text, replace(text, chr(10), '') AS flat,
+                list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INT + 1, 1))) AS bytes FROM documents),
+        hashed AS (
+            SELECT k, doc_id, source, list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda b: b::BIGINT)), lambda crc, b:
+                    list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) & 1 AS odd,
+                list_transform([text, flat], lambda t: sha256(array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, t],
+                    lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), ''))) AS digests FROM docs),
+        placed AS (
+            SELECT k, doc_id, digests[1] AS leaf, CASE WHEN odd = 1 THEN digests[2] ELSE digests[1] END AS broken,
+                dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digests[1]) - 1 AS pos,
+                count(*) OVER (PARTITION BY source) AS n FROM hashed),
+        low(tree, lvl, pos, h, n) AS (
+            SELECT tree, 0, pos, leaf, n FROM placed
+            UNION ALL SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, lvl, pos // 3, n),
+        subroots AS (SELECT tree, lvl AS height, h FROM low WHERE n = 1),
+        high(lvl, pos, h, n) AS (
+            SELECT 0, tree, h, (SELECT count(*) FROM subroots) FROM subroots
+            UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n),
+        nodes AS (
+            SELECT tree, lvl, pos, h FROM low WHERE n > 1
+            UNION ALL SELECT -1, lvl, pos, h FROM high WHERE n > 1),
+        steps AS (
+            SELECT tree, lvl, pos, string_agg(CASE WHEN p.pos2 < s.pos THEN p.h END, '' ORDER BY p.pos2) AS l, string_agg(CASE WHEN p.pos2 > s.pos THEN p.h END, '' ORDER BY p.pos2) AS r
+            FROM nodes s JOIN (SELECT tree, lvl, pos AS pos2, h FROM nodes) p USING (tree, lvl) WHERE s.pos // 3 = p.pos2 // 3 GROUP BY tree, lvl, pos),
+        climb(k, tree, lvl, pos, h, proof) AS (
+            SELECT k, CASE WHEN n > 1 THEN tree ELSE -1 END, 0, CASE WHEN n > 1 THEN pos ELSE tree END, broken, '' FROM placed
+            UNION ALL
+            SELECT k, CASE WHEN lvl + 1 = height THEN -1 ELSE tree END, CASE WHEN lvl + 1 = height THEN 0 ELSE lvl + 1 END,
+                CASE WHEN lvl + 1 = height THEN tree ELSE pos // 3 END, sha256(coalesce(l, '') || h || coalesce(r, '')), proof || coalesce(l, '') || coalesce(r, '')
+            FROM (SELECT c.k, c.tree, c.lvl, c.pos, c.h, c.proof, s.l, s.r, u.height FROM climb c JOIN steps s ON c.tree = s.tree AND c.lvl = s.lvl AND c.pos = s.pos
+                  LEFT JOIN subroots u ON u.tree = c.tree)),
+        ends AS (SELECT k, arg_max(h, length(proof)) AS folded_root, max_by(proof, length(proof)) AS proof FROM climb GROUP BY k)
+        SELECT doc_id, leaf, u.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = r.h AS verified
+        FROM placed JOIN ends USING (k) JOIN subroots u USING (tree) CROSS JOIN (SELECT h FROM high WHERE n = 1) r""",
+    "op12_hard_negatives": """
+        WITH rows AS (
+            SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.k AS anchor, a.vec_id AS anchor_id, r.k, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+            FROM rows a JOIN rows r ON a.k <> r.k WHERE a.vec_id % 100 = 0),
+        best AS (
+            SELECT anchor, anchor_id, k AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+        SELECT b.anchor_id, positive_id, row_number() OVER (PARTITION BY b.anchor, positive ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id,
+            positive_score, score AS negative_score
+        FROM best b JOIN scored s ON s.anchor = b.anchor AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY row_number() OVER (PARTITION BY b.anchor, positive ORDER BY score DESC, vec_id) <= 5""",
 }
