@@ -25,3 +25,17 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def keep(df: DataFrame, label: str = "round") -> tuple[DataFrame, str]:
+    """Write as Parquet in the shared folder and read again, for loops: unlike a checkpoint, the plan read again carries nothing of the
+    plan that made it, so that rounds do not get dearer. The path is for `discard`, once no plan that is still to run reads it."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what `keep` wrote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
