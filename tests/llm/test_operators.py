@@ -364,8 +364,11 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", block)
         got = {r["doc_id"]: (r["n_links"], r["group_id"]) for r in near_copies.join(df).collect()}
         assert got == want
-    kept = near_copies.keep_one(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({min(g) for g in groups.values()})
+    for blocks in ((near_copies.BLOCK_SHINGLES, near_copies.BLOCK_CLASSES), (900, 3)):
+        monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", blocks[0])
+        monkeypatch.setattr(near_copies, "BLOCK_CLASSES", blocks[1])
+        kept = near_copies.keep_one(df)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({min(g) for g in groups.values()})
 
 
 def test_near_copies_odd_input(spark):

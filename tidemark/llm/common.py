@@ -11,16 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..sources.scratch import settle
+from ..operators.joins import attach, sized
+from ..sources.scratch import discard, keep, settle
 
-__all__ = ["Memo", "attach", "connected", "fold", "grouped", "load", "map_rows", "settle", "text_of"]
+__all__ = ["Memo", "attach", "connected", "fold", "grouped", "load", "map_rows", "settle", "sized", "text_of"]
 
 #: Entries of a per-task word memo before it starts anew, so that memory stays bounded.
 MEMO_ENTRIES = 400_000
 #: Bytes of input that become Python objects at once.
 SLICE_BYTES = 2_000_000
-#: A key of a join is cut into pieces of at most about one part in so many of all rows.
-HOT_SHARE = 1_000
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -112,38 +111,27 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], make: Callable, sc
     return df.mapInArrow(run, schema)
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, size: str = "n") -> DataFrame:
-    """Inner join of rows to facts, of which there is at most one for each key; `size` of a fact says how many of the
-    `total` rows have its key. A key with over a thousandth of the rows is salted: its rows are spread over as many salts as
-    it has thousandths, and its fact goes to each. Such keys, of which there are fewer than a thousand, are broadcast. Columns:
-    those of rows, then those of facts."""
-    named = [c for c in facts.columns if c not in keys]
-    pieces = F.greatest(F.ceil(F.col(size) * HOT_SHARE / F.lit(max(total, 1))), F.lit(1)).cast("int")
-    cut = facts.withColumn("_pieces", pieces)
-    hot = F.broadcast(cut.where("_pieces > 1").select(*keys, "_pieces"))
-    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_pieces")), F.lit(0)).cast("int")
-    salted = rows.join(hot, keys, "left").select(*rows.columns, salt.alias("_salt"))
-    spread = cut.select(*keys, *named, F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_salt"))
-    return salted.join(spread, [*keys, "_salt"]).select(*rows.columns, *named)
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), by alternating large and small stars: rows (node, root), where
     root is the least node of the component. Nodes are of any ordered type. It ends when every component is a star around
-    its least node. Only two counts reach the driver, once a round."""
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    its least node. Only two counts reach the driver, once a round; a round has as many tasks as its edges need."""
+    spark = edges.sparkSession
+    now, path = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n_edges, open_nodes = _shape(now)
     while open_nodes:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = attach(both, least, ["a"], 2 * n_edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = sized(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), 2 * n_edges).select("a", F.least("a", "m").alias("m"), "n")
+        large, between = keep(attach(both, least, ["a"], 2 * n_edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        root = sized(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), n_edges)
         small = (attach(large, root, ["a"], n_edges).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(root.select("a", F.col("m").alias("b"))).distinct())
-        now = settle(small)
+        before = path
+        now, path = keep(sized(small, n_edges))
+        discard(spark, before)
+        discard(spark, between)
         n_edges, open_nodes = _shape(now)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return roots.unionByName(sized(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct(), n_edges))
 
 
 def _shape(edges: DataFrame) -> tuple[int, int]:

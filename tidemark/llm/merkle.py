@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.ordering import row_numbers
-from ..sources.scratch import fresh_path
+from ..sources.scratch import keep
 from .common import attach, settle
 
 FANOUT = 3
@@ -127,17 +127,11 @@ CLIMB = """
     SELECT key, step, folded, siblings, subroot FROM climb LIMIT ALL"""
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as a table in the shared folder: every step of the recursion reads it, and its plan is a scan."""
-    path = fresh_path(df.sparkSession, "merkle")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def climb(spark: SparkSession, base: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each leaf of `base` and step up to the root: key, step, folded, siblings, subroot (where the step ends at it)."""
     copies = F.ceil(F.col("leaves") / LEAVES_PER_COPY).cast("long")
-    copied = stored(nodes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy")).drop("leaves"))
+    # a table of its own, since every step of the recursion reads it: its plan is a scan
+    copied, _ = keep(nodes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy")).drop("leaves"), "merkle")
     return spark.sql(CLIMB.format(per=LEAVES_PER_COPY, base="{base}", nodes="{nodes}"), base=base, nodes=copied)
 
 
@@ -176,7 +170,7 @@ def manifest(documents: DataFrame) -> DataFrame:
     else:
         keep = ["tree", "level", "pos", "leaves", "left", "right", "up_tree", "up_level", "up_pos", "up_leaves", "subroot"]
         above = [x.select(*keep) for x in (*nodes[1:], *top_nodes)] or [nodes[0].select(*keep).where("false")]
-        base = stored(base)
+        base, _ = keep(base, "merkle")
         known = base
         path = climb(spark, base, _union(above))
     known = known.select("key", F.lit(-1).alias("step"), blank.alias("folded"), none.alias("siblings"), blank.alias("subroot"), "doc_id", "digest")

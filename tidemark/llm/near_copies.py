@@ -5,7 +5,8 @@ shingle. Documents with equal sets are one class. Band and row counts are chosen
 similarity; classes that agree in a band are joined to the least of them, and connected classes come together in
 tasks of bounded size, where the pairs that share a band are verified on their full sets. Counts of links and the edges
 of a spanning forest leave those tasks, never all pairs. Each set is shuffled once for each block of its component;
-a component of up to BLOCK_CLASSES classes and BLOCK_SHINGLES shingles is one block.
+a component of up to BLOCK_CLASSES classes and BLOCK_SHINGLES shingles is one block. Where only the groups are wanted, classes first
+meet the least of their bands only, and blocks are made just of those that share a band with a class of another group.
 
 Defined cases: a null text is empty; texts without words are one class; repeated rows are in one class; a null
 doc_id is ignored as class id unless all ids of a class are null; ties of ids cannot change the result; empty tables give no
@@ -17,9 +18,9 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo, attach, connected, grouped, map_rows, settle, text_of
+from .common import Memo, attach, connected, grouped, map_rows, settle, sized, text_of
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Shingles and classes that one block of a component has on average at most; every two blocks meet in a task of their own.
@@ -89,60 +90,58 @@ def signed(documents: DataFrame, similarity: float, recall: float) -> DataFrame:
                     make, "doc_id long, text_hash long, class_key binary, n_shingles long, bands array<long>")
 
 
-def links(documents: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Verified links: rows (class_key, other, copies, n). With `other` null: the class has n links to classes which have `copies`
-    documents together, found in one block; else an edge of a spanning forest of the links. `classes` has class_key, copies, n_shingles, bands."""
-    keyed = classes.select("class_key", F.posexplode("bands").alias("band", "hash"))
-    least = settle(keyed.groupBy("band", "hash").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    n_classes, n_keys = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
-    near = attach(keyed, least, ["band", "hash"], n_keys).select(F.col("class_key").alias("a"), F.col("least").alias("b"))
-    component = connected(near).select(F.col("node").alias("class_key"), "root")
-    placed = settle(classes.join(component, "class_key").select("class_key", "root", "copies", "n_shingles", "bands", "doc_id", "text_hash"))
-    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int")
-    sizes = placed.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("n"))
-    placed = settle(attach(placed, sizes, ["root"], n_classes).drop("n").withColumn("b", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")))
+def blocks_of(n: str, shingles: str) -> Column:
+    """Blocks for so many classes and shingles."""
+    return F.greatest(F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.ceil(F.col(n) / BLOCK_CLASSES), F.lit(1)).cast("int")
+
+
+def verified(documents: DataFrame, members: DataFrame, similarity: float, every_link: bool) -> DataFrame:
+    """Verified links of classes that meet: rows (class_key, other, copies, n). With `other` null: the class has n links to classes which
+    have `copies` documents together, found in one meeting (only if every link is wanted); else an edge of a spanning forest of the links.
 
+    `members` has class_key, part, copies, bands, doc_id, text_hash and meets: where the class goes, as (root, i, j, side). In a
+    meeting, classes of side 0 are compared with those of side 1, and those of side 2 with each other, if they share a band and differ in part."""
     # the text of one document of each class, for the full set
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    first = placed.join(texts, placed["text_hash"].eqNullSafe(texts["text_hash"]) & placed["doc_id"].eqNullSafe(texts["doc_id"])).select(
-        "root", "class_key", "copies", "bands", "blocks", "b", "text")
+    first = members.join(texts, members["text_hash"].eqNullSafe(texts["text_hash"]) & members["doc_id"].eqNullSafe(texts["doc_id"])).select(
+        "class_key", "part", "copies", "bands", "meets", "text")
 
     def make_sets():
         shingles = shingler()
 
-        def rows(root, key, copies, bands, blocks, b, text):
-            for r, c, n, h, m, k, t in zip(root, key, copies, bands, blocks, b, text):
-                yield r, c, n, h, m, k, shingles(t).tobytes()
+        def rows(key, part, copies, bands, meets, text):
+            for c, p, n, h, m, t in zip(key, part, copies, bands, meets, text):
+                yield c, p, n, h, m, shingles(t).tobytes()
         return rows
 
-    sets = map_rows(first, make_sets, "root binary, class_key binary, copies long, bands array<long>, blocks int, b int, shingles binary")
-    met = sets.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "b", "class_key", "copies", "bands", "shingles").select(
-        "root", F.least("o", "b").alias("i"), F.greatest("o", "b").alias("j"), "b", "class_key", "copies", "bands", "shingles")
+    sets = map_rows(first, make_sets, "class_key binary, part binary, copies long, bands array<long>, meets array<struct<root binary, i int, j int, side int>>, shingles binary")
+    met = sets.select(F.explode("meets").alias("m"), "class_key", "part", "copies", "bands", "shingles").select(
+        "m.root", "m.i", "m.j", "m.side", "class_key", "part", "copies", "bands", "shingles")
 
     def make_pairs():
         def rows(key, parts):
-            _, i, j = key
-            seen, left, right = set(), [], []
+            seen, sides = set(), ([], [], [])
             for part in parts:
-                for b, c, n, h, s in zip(*[part.column(k).to_pylist() for k in (3, 4, 5, 6, 7)]):
+                for side, c, p, n, h, s in zip(*[part.column(k).to_pylist() for k in range(3, 9)]):
                     if c not in seen:  # a repeated row of the document that stands for the class
                         seen.add(c)
-                        entry = c, n, np.array(h, np.int64), np.frombuffer(s, np.uint64)
-                        left.append(entry) if b == i else right.append(entry)
-            right = left if i == j else right
+                        sides[side].append((c, p, n, np.array(h, np.int64), np.frombuffer(s, np.uint64)))
+            left, right = (sides[2], sides[2]) if sides[2] else sides[:2]
             if not left or not right:
                 return
             count, reach, forest = {}, {}, {}
-            bands = np.array([e[2] for e in right])
-            for x, (c, n, h, s) in enumerate(left):
+            bands = np.array([e[3] for e in right])
+            for x, (c, v, n, h, s) in enumerate(left):
                 shared = np.flatnonzero((bands == h).any(axis=1))
                 for y in shared.tolist():
-                    d, m, _, t = right[y]
-                    if (i == j and y <= x) or min(len(s), len(t)) < similarity * max(len(s), len(t)):
+                    d, w, m, _, t = right[y]
+                    if (left is right and y <= x) or v == w or min(len(s), len(t)) < similarity * max(len(s), len(t)):
+                        continue
+                    if not every_link and _root(forest, c) == _root(forest, d):
                         continue
                     common = int(np.isin(s, t, assume_unique=True).sum())
                     if common >= similarity * (len(s) + len(t) - common) - 1e-9:
-                        for p, q in ((c, m), (d, n)):
+                        for p, q in ((c, m), (d, n)) if every_link else ():
                             count[p], reach[p] = count.get(p, 0) + 1, reach.get(p, 0) + q
                         p, q = _root(forest, c), _root(forest, d)
                         if p != q:
@@ -153,7 +152,56 @@ def links(documents: DataFrame, classes: DataFrame, similarity: float) -> DataFr
                 yield p, _root(forest, p), 0, 0
         return rows
 
-    return settle(grouped(met, ["root", "i", "j"], ["b", "class_key"], make_pairs, "class_key binary, other binary, copies long, n long"))
+    return settle(grouped(met, ["root", "i", "j"], ["side", "class_key"], make_pairs, "class_key binary, other binary, copies long, n long"))
+
+
+def in_blocks(classes: DataFrame, component: DataFrame, n_classes: int) -> DataFrame:
+    """Members that meet all others of their component, in tasks of bounded size: `component` has (class_key, part, root)."""
+    placed = settle(sized(classes.join(component, "class_key").select("class_key", "part", "root", "copies", "n_shingles", "bands", "doc_id", "text_hash"), n_classes))
+    sizes = sized(placed.groupBy("root").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n")), n_classes).select("root", blocks_of("n", "s").alias("blocks"), "n")
+    numbered = attach(placed, sizes, ["root"], n_classes).withColumn("b", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
+    side = lambda o: F.when(o == F.col("b"), 2).when(o < F.col("b"), 1).otherwise(0)
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.col("root").alias("root"), F.least(o, "b").alias("i"), F.greatest(o, "b").alias("j"), side(o).alias("side")))
+    return settle(numbered.select("class_key", "part", "copies", "bands", "doc_id", "text_hash", meets.alias("meets")))
+
+
+def in_stars(classes: DataFrame, stars: DataFrame, n_edges: int, n_classes: int) -> DataFrame:
+    """Members that meet the least class of each of their bands: `stars` has distinct (a, b), b the least."""
+    sized_edges = stars.join(classes.select(F.col("class_key").alias("a"), "n_shingles"), "a")  # a class has no more edges than bands
+    hubs = settle(sized(sized_edges.groupBy("b").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n")), n_edges).select("b", blocks_of("n", "s").alias("blocks"), "n"))
+    meeting = lambda root, i, side: F.struct(F.col(root).alias("root"), i.cast("int").alias("i"), F.lit(0).alias("j"), F.lit(side).alias("side"))
+    rays = attach(stars, hubs, ["b"], n_edges).select(F.col("a").alias("class_key"), F.array(meeting("b", F.pmod(F.xxhash64("a"), F.col("blocks")), 1)).alias("meets"))
+    centres = hubs.select(F.col("b").alias("class_key"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: meeting("b", i, 0)).alias("meets"))
+    meets = sized(rays.unionByName(centres).groupBy("class_key").agg(F.flatten(F.collect_list("meets")).alias("meets")), n_edges)
+    return settle(sized(classes.join(meets, "class_key"), n_classes).select("class_key", F.col("class_key").alias("part"), "copies", "bands", "doc_id", "text_hash", "meets"))
+
+
+def links(documents: DataFrame, classes: DataFrame, similarity: float, every_link: bool = True) -> DataFrame:
+    """Verified links of the classes, as `verified` has them. `classes` has class_key, copies, n_shingles, bands, doc_id, text_hash.
+
+    For every link, classes that are connected by shared bands meet all in blocks. Where only the groups are wanted, each class first meets the
+    least class of each of its bands; what this connects is done, and only classes that share a band with one of another group meet in blocks."""
+    keyed = classes.select("class_key", F.posexplode("bands").alias("band", "hash"))
+    n_classes, n_keys = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
+    least = settle(sized(keyed.groupBy("band", "hash").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1"), n_keys))
+    near = attach(keyed, least, ["band", "hash"], n_keys)
+    stars = settle(sized(near.where("class_key <> least").select(F.col("class_key").alias("a"), F.col("least").alias("b")).distinct(), n_keys))
+    if every_link:
+        component = connected(stars).select(F.col("node").alias("class_key"), F.col("node").alias("part"), "root")
+        return verified(documents, in_blocks(classes, component, n_classes), similarity, True)
+    n_edges = stars.count()
+    found = verified(documents, in_stars(classes, stars, n_edges, n_classes), similarity, False)
+    groups = connected(found.select(F.col("class_key").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("class_key"), F.col("root").alias("group"))
+    shared = settle(sized(near.select("class_key", "band", "hash", "n").join(groups, "class_key", "left").select(
+        "class_key", "band", "hash", "n", F.coalesce("group", "class_key").alias("part")), n_keys))
+    open_bands = settle(sized(shared.groupBy("band", "hash").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high"), n_keys))
+    open_keys = settle(attach(shared.drop("n"), open_bands, ["band", "hash"], n_keys).select("class_key", "part", "low"))
+    parts = connected(open_keys.select(F.col("part").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("part"), "root")
+    active = open_keys.select("class_key", "part").distinct()
+    sizes = active.groupBy("part").agg(F.count("*").alias("n")).join(parts, "part")
+    component = attach(active, sizes, ["part"], n_classes).select("class_key", "part", "root")
+    return found.unionByName(verified(documents, in_blocks(classes, component, n_classes), similarity, False))
 
 
 def _root(forest: dict, node: bytes) -> bytes:
@@ -163,15 +211,15 @@ def _root(forest: dict, node: bytes) -> bytes:
     return node
 
 
-def classed(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def classed(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, class_key) of the documents, and classes (class_key, class_id, group_id, copies, n_links, n_class_links,
-    group_key, and of the first document doc_id and text_hash)."""
+    group_key, and of the first document doc_id and text_hash). Without every link, numbers of links are not counted."""
     rows = settle(signed(documents, similarity, recall))
     classes = settle(rows.groupBy("class_key").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).select(
         "class_key", "class_id", "copies", "n_shingles", "bands", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
-    found = links(documents, classes, similarity)
+    found = links(documents, classes, similarity, every_link)
     counts = found.where("other is null").groupBy("class_key").agg(F.sum("copies").alias("reach"), F.sum("n").alias("n"))
     groups = connected(found.where("other is not null").select(F.col("class_key").alias("a"), F.col("other").alias("b"))).select(
         F.col("node").alias("class_key"), F.col("root").alias("group_key"))
@@ -194,7 +242,7 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, recall: float = R
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The documents with one row of each group left, and all their columns."""
-    _, classes = classed(documents, similarity, recall)
+    _, classes = classed(documents, similarity, recall, every_link=False)
     kept = classes.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).select(
         F.col("first.none").alias("_none"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.text_hash").alias("_hash"))
     number = F.col("doc_id").cast("long")
