@@ -162,7 +162,7 @@ def data_profile(df: DataFrame, k: int = 5) -> DataFrame:
 
 def top_lists(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """At most k values per column, in order."""
-    top = values.top_values(values.value_counts(df, columns), k)
+    top = values.commonest(df, columns, k)
     listed = top.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("position", "value", "n"))).alias("l"))
     return listed.select("column", F.transform("l", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
                          .alias("top_values"))

@@ -85,6 +85,23 @@ def data_profile(spark, sf):
     return rounded(profile.data_profile(df).drop("top_values"), 4)
 
 
+@query("text_profile", " UNION ALL ".join(f"""
+    SELECT '{t}' AS "table", '{c}' AS "column", count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, count({c}) AS non_null,
+      (SELECT list(v || ':' || n ORDER BY n DESC, v) FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5)) AS top_values,
+      (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) FROM {t}) AS duplicate_rows
+    FROM {t}""" for t, cs in (("documents", ("text", "lang", "source")), ("pages", ("url", "html"))) for c in cs))
+def text_profile(spark, sf):
+    """Long texts: distinct values, commonest values and duplicate rows of whole tables."""
+    parts = []
+    for t in ("documents", "pages"):
+        df = load(spark, sf, t)
+        told = profile.data_profile(df).where(F.col("dtype") == "string")
+        parts.append(told.select(F.lit(t).alias("table"), "column", "null_count", "unique_count", "non_null",
+                                 F.transform("top_values", lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))).alias("top_values"),
+                                 F.lit(values.duplicate_rows(df)).alias("duplicate_rows")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("snapshot_stats", f"""WITH {GAPPY}
     SELECT 'o_totalprice' AS "column", count(*) AS total_count, count(*) - count(o_totalprice) AS null_count,
       pround((count(*) - count(o_totalprice))::DOUBLE / count(*) * 100, 2) AS null_pct, count(DISTINCT o_totalprice) AS unique_count,
