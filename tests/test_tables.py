@@ -182,3 +182,23 @@ def test_quoted_line_breaks_by_default(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('id,t\n1,"two\nlines"\n2,x\n')
     assert readers.read_path(spark, str(path)).count() == 2 and readers.read_path(spark, str(path), multiLine=False).count() == 3
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM IDENTIFIER('sec' || 'ret')", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.dir')", "WITH a AS (SELECT * FROM Secret) SELECT 1", "SELECT (SELECT max(id) FROM db.secret)",
+    "SELECT * FROM range(3) WHERE EXISTS (SELECT 1 FROM secret)", "SELECT * FROM a JOIN LATERAL (SELECT * FROM secret) b", "SELECT 1 UNION SELECT id FROM `secret`",
+    "SELECT * FROM json.`/tmp/x`", "SELECT java_method('java.lang.Math', 'random')", "SELECT my_own_function(1)", "SELECT * FROM read_everything('x')",
+    "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "FROM a INSERT INTO t SELECT *", "SELECT TRANSFORM(id) USING 'cat' FROM a", "TABLE secret"])
+def test_guard_walks_the_nodes(spark, text):
+    with pytest.raises(sql.NotAllowed):
+        sql.guard(spark, text, {"secret"})
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT 'a\nSet b\nInsert' AS x", "SELECT 'secret' AS secret, \"reflect(1)\"", "WITH a AS (SELECT id, id % 3 AS k FROM range(9)) SELECT k, sum(id) OVER (PARTITION BY k) FROM a",
+    "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b) WHERE a IN (SELECT id FROM range(5)) ORDER BY a LIMIT 3", "SELECT k, count(*) FROM (SELECT id % 2 AS k FROM range(4)) GROUP BY ALL HAVING count(*) > 1",
+    "SELECT * FROM range(3) EXCEPT SELECT 1 INTERSECT SELECT 2", "SELECT explode(array(1, 2)) AS x", "SELECT transform(array(1, 2), x -> x + 1) AS x",
+    "SELECT * FROM (SELECT 1 AS a, 2 AS b) UNPIVOT (v FOR c IN (a, b))", "SELECT * FROM (SELECT 1 AS a, 'x' AS b) PIVOT (sum(a) FOR b IN ('x', 'y'))"])
+def test_guard_lets_nodes_that_read_pass(spark, text):
+    assert sql.query(spark, text, {"secret"}).collect() is not None

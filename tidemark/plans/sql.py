@@ -1,42 +1,67 @@
 """Read-only SQL over permitted tables.
 
-A statement is parsed by Spark, and the parsed plan decides: only query nodes, only tables by name (no files as
-tables, none of the internal ones, in any letter case, qualified or in a subquery), and no functions that reach outside SQL.
+A statement is parsed by Spark, and a walk over the nodes of the parsed plan decides: every node must be one of those that only
+read, every relation a table by name (no files as tables, none of the internal ones, in any letter case, qualified, in a subquery or a
+named query), every function one that Spark brings along and that stays inside SQL. Names that are only known when the statement runs, as
+IDENTIFIER makes them, are refused, so nothing is left to be resolved into something else.
 """
 
 from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_LIMIT = 1_000
 PRAGMA = re.compile(r"^PRAGMA\s+(?:table_info\s*\(\s*[\"'`]?(\w+)[\"'`]?\s*\)|table_list)\s*$", re.IGNORECASE)
-RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-FUNCTION = re.compile(r"'([A-Za-z_][\w.]*)\(")
-# Nodes of parsed plans that do more than read.
-WRITES = re.compile(r"^[\s:+|-]*'?(?:\w*(?:Insert|Delete|Update|Merge|Create|Drop|Alter|Replace|Truncate|Load|Set|Reset|Cache|Uncache|Refresh|Add|Analyze|Repair|"
-                    r"Rename|Comment|Call|Execute|ScriptTransformation|Transform|Variable)\w*)\b(?!\()", re.MULTILINE)
+# Names of Spark's plan nodes that only read, as the parser makes them.
+READS = frozenset("""UnresolvedRelation UnresolvedTableValuedFunction UnresolvedInlineTable ResolvedInlineTable LocalRelation OneRowRelation Project Filter Join
+    AsOfJoin LateralJoin Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit LimitAll Offset Distinct Union Except Intersect SubqueryAlias
+    UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedWith Generate Pivot Unpivot UnpivotTransformer WithWindowDefinition UnresolvedHint Sample
+    Window Expand Deduplicate PipeExpression PipeOperator""".split())
 FILE_FORMATS = frozenset("text csv json parquet orc avro delta binaryfile xml".split())
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 REACHING_OUT = frozenset("reflect java_method try_reflect".split())
+CATALYST = "org.apache.spark.sql.catalyst"
 
 
 class NotAllowed(ValueError):
     """The statement is no read-only query on permitted tables."""
 
 
-def parsed(spark: SparkSession, text: str) -> str:
-    """The parsed plan as text, with no expression left out for length."""
-    key = "spark.sql.debug.maxToStringFields"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, 1_000_000)
+def parsed(spark: SparkSession, text: str) -> JavaObject:
+    """The parsed plan."""
     try:
-        return spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except ParseException as error:
         raise NotAllowed("not a statement Spark can parse") from error
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def nodes(spark: SparkSession, plan: JavaObject):
+    """Every node of the plan with its class: operators and expressions, those in subqueries, named queries and lists included."""
+    gateway = spark.sparkContext._gateway
+    waiting = [plan]
+    while waiting:
+        x = waiting.pop()
+        if not isinstance(x, JavaObject):
+            continue
+        if is_instance_of(gateway, x, f"{CATALYST}.trees.TreeNode"):
+            yield x.getClass().getSimpleName(), x, is_instance_of(gateway, x, f"{CATALYST}.plans.logical.LogicalPlan")
+            parts = x.productIterator()
+        elif is_instance_of(gateway, x, "scala.collection.Iterable"):
+            parts = x.iterator()
+        elif is_instance_of(gateway, x, "scala.Product") and not is_instance_of(gateway, x, "org.apache.spark.sql.types.DataType"):
+            parts = x.productIterator()
+        else:
+            continue
+        while parts.hasNext():
+            waiting.append(parts.next())
+
+
+def names_in(parts: JavaObject) -> list[str]:
+    return [parts.apply(i).lower() for i in range(parts.size())]
 
 
 def guard(spark: SparkSession, query: str, internal: set[str] = frozenset()) -> str:
@@ -48,19 +73,28 @@ def guard(spark: SparkSession, query: str, internal: set[str] = frozenset()) ->
         return text
     if not re.match(r"\(*\s*(?:SELECT|WITH|VALUES|TABLE|FROM)\b", text, re.IGNORECASE):
         raise NotAllowed("only statements that read are allowed")
-    plan = parsed(spark, text)
-    if WRITES.search(plan):
-        raise NotAllowed("only statements that read are allowed")
     hidden = {name.lower() for name in internal}
-    for parts in RELATION.findall(plan):
-        names = [n.strip().lower() for n in parts.split(",")]
-        if names[-1] in hidden:
-            raise NotAllowed(f"table {names[-1]!r} is internal")
-        if len(names) > 1 and names[0] in FILE_FORMATS or re.search(r"[/:*]", parts):
-            raise NotAllowed("files are not tables here")
-    for name in FUNCTION.findall(plan):
-        if name.lower().rpartition(".")[2] in REACHING_OUT:
-            raise NotAllowed(f"function {name!r} is not allowed")
+    analysis = getattr(spark._jvm.org.apache.spark.sql.catalyst.analysis, "FunctionRegistry$")
+    builtin = getattr(analysis, "MODULE$").builtin()
+    for kind, node, is_plan in nodes(spark, parsed(spark, text)):
+        if kind == "UnresolvedRelation":
+            names = names_in(node.multipartIdentifier())
+            if names[-1] in hidden:
+                raise NotAllowed(f"table {names[-1]!r} is internal")
+            if len(names) > 1 and names[0] in FILE_FORMATS or any(re.search(r"[/:*]", n) for n in names):
+                raise NotAllowed("files are not tables here")
+        elif kind == "UnresolvedTableValuedFunction":
+            if names_in(node.name())[-1] not in TABLE_FUNCTIONS:
+                raise NotAllowed("this table function is not allowed")
+        elif kind == "UnresolvedFunction":
+            name = names_in(node.nameParts())
+            known = len(name) == 1 and builtin.functionExists(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name[0]))
+            if not known or name[0] in REACHING_OUT:
+                raise NotAllowed(f"function {'.'.join(name)!r} is not allowed")
+        elif "UnresolvedIdentifier" in kind or kind == "UnresolvedIdentifier":
+            raise NotAllowed("names must be written out")
+        elif is_plan and kind not in READS:
+            raise NotAllowed("only statements that read are allowed")
     return text
 
 
