@@ -8,6 +8,8 @@ from decimal import Decimal
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .patterns import java_regex
+
 # Text tokens read as booleans.
 TRUE_TOKENS = ["true", "yes", "1", "y", "t"]
 FALSE_TOKENS = ["false", "no", "0", "n", "f"]
@@ -124,18 +126,6 @@ def not_in_set(df: DataFrame, name: str, allowed: list) -> Column:
     return value(df, name).isNotNull() & ~F.coalesce(value(df, name).isin(fits) if fits else F.lit(False), F.lit(False))
 
 
-def java_regex(pattern: str) -> str:
-    r"""A Python pattern as Java reads it: classes such as \w beyond ASCII, named groups, \Z for the end."""
-    names: dict[str, str] = {}
-
-    def name(m: re.Match) -> str:
-        return names.setdefault(m[1], f"g{len(names)}")
-
-    out = re.sub(r"(?<!\\)\(\?P<(\w+)>", lambda m: f"(?<{name(m)}>", pattern)
-    out = re.sub(r"(?<!\\)\(\?P=(\w+)\)", lambda m: f"\\k<{name(m)}>", out)
-    return "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
-
-
 def not_matching(df: DataFrame, name: str, pattern: str) -> Column:
     """Non-null value that the pattern does not match from its start.
 
@@ -146,7 +136,7 @@ def not_matching(df: DataFrame, name: str, pattern: str) -> Column:
         re.compile(pattern)
     except re.error:
         return F.lit(False)
-    java = java_regex(pattern)
+    java = java_regex(pattern)  # an error where Java has no equal
     try:
         df.sparkSession._jvm.java.util.regex.Pattern.compile(java)
     except Py4JJavaError as error:

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from .columns import java_regex
+from .patterns import java_regex
 
 SPACE = r"(?U)\s+"
 MARK = "\ue000"   # a private-use character, which has no meaning in text
@@ -33,7 +33,8 @@ def regex_replace(c: Column, pattern: str, replacement: str = "") -> Column:
     if not pattern:
         return c
     java = replacement.replace("$", r"\$")
-    java = re.sub(r"\\g<(\w+)>", lambda m: "$" + m[1] if m[1].isdigit() else "${" + m[1] + "}", java)
+    groups = re.compile(pattern).groupindex
+    java = re.sub(r"\\g<(\w+)>", lambda m: "$" + (m[1] if m[1].isdigit() else str(groups[m[1]])), java)
     java = re.sub(r"\\(\d+)", r"$\1", java)
     return F.regexp_replace(c, F.lit(java_regex(pattern)), F.lit(java))
 

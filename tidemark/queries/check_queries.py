@@ -258,6 +258,14 @@ def predicate_pattern(spark, sf):
     return df.where(not_matching(df, "c_name", "Customer#0000001")).select("c_custkey", "c_name")
 
 
+@query("predicate_nested_class", r"""SELECT c_custkey, c_name FROM customer
+    WHERE NOT regexp_matches(c_name, '^(?:[C\[]ustomer#0+[1-4\[&\]]\d*$)')""")
+def predicate_nested_class(spark, sf):
+    """Brackets and && are plain characters of a class."""
+    df = load(spark, sf, "customer")
+    return df.where(not_matching(df, "c_name", r"[C[]ustomer#0+[1-4[&&\]]\d*$")).select("c_custkey", "c_name")
+
+
 @query("predicate_range", f"""WITH {PARTS} SELECT p_partkey, brand_number FROM p
     WHERE try_cast(brand_number AS DOUBLE) IS NULL OR try_cast(brand_number AS DOUBLE) > 20""")
 def predicate_range(spark, sf):
