@@ -168,8 +168,8 @@ def manifest(documents: DataFrame) -> DataFrame:
         known = lone
         path = lone.select("key", F.lit(0).alias("step"), F.coalesce("tampered", "digest").alias("folded"), none.alias("siblings"), F.col("digest").alias("subroot"))
     else:
-        keep = ["tree", "level", "pos", "leaves", "left", "right", "up_tree", "up_level", "up_pos", "up_leaves", "subroot"]
-        above = [x.select(*keep) for x in (*nodes[1:], *top_nodes)] or [nodes[0].select(*keep).where("false")]
+        linking = ["tree", "level", "pos", "leaves", "left", "right", "up_tree", "up_level", "up_pos", "up_leaves", "subroot"]
+        above = [x.select(*linking) for x in (*nodes[1:], *top_nodes)] or [nodes[0].select(*linking).where("false")]
         base, _ = keep(base, "merkle")
         known = base
         path = climb(spark, base, _union(above))
