@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_number
@@ -41,6 +43,23 @@ def csv_quoted_text(spark, sf):
     return readers.read_csv(spark, path, schema=df.schema)
 
 
+@query("csv_split_text", "SELECT doc_id, source, text FROM documents")
+def csv_split_text(spark, sf):
+    """Texts with line breaks and quotes, each file read by as many tasks as it has ranges."""
+    path = fresh_path(spark, "csv")
+    df = load(spark, sf, "documents").select("doc_id", "source", "text")
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_csv(spark, path, schema=df.schema, split=True)
+
+
+@query("object_by_key", "SELECT e_key, ts, event_type FROM (SELECT event_id AS e_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events)")
+def object_by_key(spark, sf):
+    """A bucket and key of the store that holds the scratch folder; types are found in the text."""
+    df = load(spark, sf, "events").select(F.col("event_id").alias("e_key"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_type")
+    place = urlsplit(tables.save(df, f"{fresh_path(spark, 'bucket')}/events.csv", "csv"))
+    return readers.read_object(spark, place.netloc, place.path, place.scheme or "file")
+
+
 @query("json_round_trip", f"WITH {GAPPY} SELECT o_orderkey, o_totalprice, o_orderpriority FROM g")
 def json_round_trip(spark, sf):
     path = tables.save(gappy(spark, sf).select("o_orderkey", "o_totalprice", "o_orderpriority"), fresh_path(spark, "json"), "json")

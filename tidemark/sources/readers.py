@@ -7,6 +7,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import NUMBER_TEXT, col
+from .split_csv import read_split
 
 # Text read as missing in CSV files.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -14,19 +15,34 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 FORMATS = {"csv": "csv", "json": "json", "parquet": "parquet", "orc": "orc", "jsonl": "json", "ndjson": "json"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = True, **options) -> DataFrame:
+def _largest(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file, from the listing alone."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = True, split: bool | None = None,
+             **options) -> DataFrame:
     """CSV with a header. Missing-value tokens become null before types are chosen.
 
-    Quoted values may hold line breaks, so a file is read by one task; `multiLine=False` splits large files of
-    which it is known that no value has a line break.
+    Quoted values may hold line breaks. Files larger than one read partition are then split by `split_csv`, which gives the same
+    rows; smaller ones are one task in any case. `split` decides instead. `multiLine=False` is for files of which it is known
+    that no value has a line break.
 
     With a schema there is one scan. Otherwise types come from one extra aggregation over the text:
     long, double, boolean, else string; dates stay text, as a CSV has no type for them.
     """
-    reader = spark.read.options(header=True, multiLine=options.pop("multiLine", True), escape='"', **options)
+    breaks = options.pop("multiLine", True)
+    reader = spark.read.options(**{"header": True, "multiLine": breaks, "escape": '"'} | options)
+    raw = (reader.schema(schema) if schema is not None else reader).csv(path)
+    if breaks and (_largest(spark, path) > _split_bytes(spark) if split is None else split):
+        parts = read_split(spark, path, raw.schema, options)
+        raw = raw if parts is None else parts
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.csv(path)
+        return raw
     clean = raw.select(*[F.when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in raw.columns])
     if not infer:
         return clean
