@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
+import time
+from collections import Counter
 from datetime import date, datetime, timedelta
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -186,7 +190,7 @@ def test_readiness(spark):
 
 def test_suggestions(spark):
     clean = spark.range(50).select("id")
-    assert suggest.from_data(clean).first()["title"] == "Data looks good!"
+    assert suggest.from_data(clean).first()["title"] == "Nothing to do"
     found = suggest.from_profile(
         [{"name": "c", "type": "string", "unique": 3, "count": 100, "null_pct": 10}, {"name": "k", "type": "string", "unique": 99, "count": 100},
          {"name": "x", "type": "double", "skew": 4}], [{"type": "validity", "status": "failed", "column": "c"}], 100, 3)
@@ -207,6 +211,45 @@ def test_p_values():
     assert dist.kolmogorov_upper(1.3581 / 1000, 1_000_000) == pytest.approx(0.05, abs=1e-3)
 
 
+@pytest.mark.parametrize("n1, n2", [(1, 1), (1, 5), (2, 3), (3, 3), (5, 7), (8, 8), (9, 3)])
+def test_rank_sum_tail_against_all_choices(n1, n2):
+    ways = Counter(sum(s) - n1 * (n1 - 1) // 2 for s in combinations(range(n1 + n2), n1))
+    for u in range(n1 * n2 + 2):
+        assert dist.rank_sum_upper(n1, n2, u) == sum(v for k, v in ways.items() if k >= u) / ways.total()
+
+
+def test_rank_sum_tail_of_a_huge_sample():
+    """The middle of a symmetric law, and far more entries than could be listed."""
+    start = time.perf_counter()
+    assert dist.rank_sum_upper(8, 10 ** 9, 4 * 10 ** 9) == pytest.approx(0.5, abs=1e-8)
+    assert dist.rank_sum_upper(8, 10 ** 9, 8 * 10 ** 9) == pytest.approx(1 / math.comb(10 ** 9 + 8, 8), rel=1e-12)
+    assert time.perf_counter() - start < 1
+
+
+def test_kolmogorov_tail():
+    """Closed forms for one and two values, published values beyond; the series meets the exact form where it takes over."""
+    assert dist.kolmogorov_upper(0.7, 1) == pytest.approx(0.6, abs=1e-12)
+    assert dist.kolmogorov_upper(0.4, 2) == pytest.approx(1 - 2 * 0.3 ** 2, abs=1e-12)
+    assert dist.kolmogorov_upper(0.8, 2) == pytest.approx(2 * 0.2 ** 2, abs=1e-12)
+    assert dist.kolmogorov_upper(0.274, 10) == pytest.approx(1 - 0.6284796154565, abs=1e-12)
+    for n, d in ((5, 0.56328), (20, 0.29408), (100, 0.13403)):
+        assert dist.kolmogorov_upper(d, n) == pytest.approx(0.05, abs=2e-5)
+    n = dist.EXACT_KOLMOGOROV
+    for x in (0.3, 0.5, 0.8, 1.0, 1.36, 2.0, 2.9):
+        assert dist._kolmogorov_exact(x / math.sqrt(n), n) == pytest.approx(dist._kolmogorov_series(x, n), abs=3e-7)
+    assert dist.kolmogorov_upper(1.3581 / math.sqrt(10 ** 12), 10 ** 12) == pytest.approx(0.05, abs=1e-5)
+    assert dist.kolmogorov_upper(0.0, 9) == 1.0 and dist.kolmogorov_upper(1.0, 9) == 0.0
+
+
+def test_ks_against_the_normal(spark):
+    values = [-1.9, -0.4, -0.4, 0.1, 0.3, 1.2, 2.5]
+    got = stats.run_test("ks_test", spark.createDataFrame([(v,) for v in values], "x double"), {"column": "x"})
+    cdf = [math.erfc(-v / math.sqrt(2)) / 2 for v in values]
+    d = max(max((i + 1) / 7 - c, c - i / 7) for i, c in enumerate(cdf) if values.count(values[i]) == 1)
+    d = max(d, 3 / 7 - cdf[1], cdf[1] - 1 / 7)
+    assert got["statistic"] == round(d, 6) and got["p_value"] == round(dist.kolmogorov_upper(d, 7), 6)
+
+
 def test_statistics(spark):
     table = spark.createDataFrame([(a, b) for a, b in [("a", "x"), ("b", "y"), ("a", "y"), ("b", "x")] * 25], "cat1 string, cat2 string")
     chi = stats.run_test("chi_square", table, {"column1": "cat1", "column2": "cat2"})

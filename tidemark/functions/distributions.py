@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
@@ -80,11 +82,94 @@ def chi2_upper(x: float, dof: float) -> float:
     return front * h
 
 
+#: Up to so many values the Kolmogorov tail is exact; beyond, the corrected limit is used (its error is under 3e-7 there).
+EXACT_KOLMOGOROV = 5_000
+
+
 def kolmogorov_upper(d: float, n: int) -> float:
-    """Asymptotic tail of the Kolmogorov statistic with the usual small-sample correction."""
-    root = math.sqrt(n)
-    x = (root + 0.12 + 0.11 / root) * d
-    if x < 0.2:
+    """Chance that the empirical distribution of n values strays by at least `d` from its continuous distribution.
+
+    Exact up to `EXACT_KOLMOGOROV` values. Beyond, the limit law at a shifted point, which leaves an error of order n^-1.5."""
+    if n * d <= 0.5:
         return 1.0
-    total = sum((-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 101))
-    return min(1.0, max(0.0, 2 * total))
+    if d >= 1:
+        return 0.0
+    if n * d * d > 18:
+        return min(1.0, 2 * math.exp(-2 * n * d * d))   # below 5e-16, where the cumulative form has no digits left
+    if n <= EXACT_KOLMOGOROV:
+        return min(1.0, max(0.0, 1.0 - _kolmogorov_exact(d, n)))
+    return min(1.0, max(0.0, 1.0 - _kolmogorov_series(math.sqrt(n) * d, n)))
+
+
+def _kolmogorov_series(x: float, n: int) -> float:
+    """P(D < x / sqrt(n)): the limit law and its terms of order n^-1/2 and n^-1 (Pelz and Good 1976)."""
+    odd = [((math.pi * (2 * k - 1) / 2) ** 2, math.exp(-(math.pi * (2 * k - 1) / x) ** 2 / 8)) for k in range(1, 30)]
+    even = [((math.pi * k) ** 2, math.exp(-(math.pi * k / x) ** 2 / 2)) for k in range(1, 30)]
+    scale = math.sqrt(2 * math.pi)
+    limit = scale / x * sum(w for _, w in odd)
+    first = scale / (6 * x ** 4) * sum((a - x * x) * w for a, w in odd)
+    second = scale / (72 * x ** 7) * sum((6 * x ** 6 + 2 * x ** 4 + a * (2 * x ** 4 - 5 * x * x) + a * a * (1 - 2 * x * x)) * w
+                                         for a, w in odd) - scale / (36 * x ** 3) * sum(a * w for a, w in even)
+    return limit + first / math.sqrt(n) + second / n
+
+
+def _kolmogorov_exact(d: float, n: int) -> float:
+    """P(D < d) as an entry of the n-th power of a band matrix (Marsaglia, Tsang and Wang 2003). The matrix has 2k - 1 rows for
+    k - 1 < n d <= k; powers are scaled by powers of two so that they neither overflow nor vanish."""
+    k = math.floor(n * d) + 1
+    size, h = 2 * k - 1, math.floor(n * d) + 1 - n * d
+    steps = np.arange(size)[:, None] - np.arange(size)[None, :] + 1
+    inverse = np.exp(-np.array([math.lgamma(i + 1) for i in range(size + 1)]))   # 1 / i!
+    matrix = np.where(steps >= 0, inverse[np.maximum(steps, 0)], 0.0)
+    edge = h ** np.arange(1, size + 1) * inverse[1:]
+    matrix[:, 0] -= edge
+    matrix[-1, :] -= edge[::-1]
+    if h > 0.5:
+        matrix[-1, 0] += (2 * h - 1) ** size * inverse[size]
+    power, shift, base, base_shift, left = np.eye(size), 0, matrix, 0, n
+    while left:
+        if left & 1:
+            power, shift = power @ base, shift + base_shift
+            power, shift = _scaled(power, shift)
+        base, base_shift = _scaled(base @ base, 2 * base_shift)
+        left >>= 1
+    entry = power[k - 1, k - 1]
+    if entry <= 0:
+        return 0.0
+    return min(1.0, math.exp(math.log(entry) + shift * math.log(2) + math.lgamma(n + 1) - n * math.log(n)))
+
+
+def _scaled(matrix: np.ndarray, shift: int) -> tuple[np.ndarray, int]:
+    by = math.frexp(float(np.abs(matrix).max()))[1]
+    return np.ldexp(matrix, -by), shift + by
+
+
+def rank_sum_upper(n1: int, n2: int, u: int) -> float:
+    """Chance of a U of at least `u` for two samples without ties; exact, for any size of the larger sample.
+
+    Ways to get a U are partitions into at most `small` parts of at most `large`. Those of U up to t have the generating function
+    prod (1 - q^(large + i)) / ((1 - q) prod (1 - q^i)), i up to `small`. The product above the line has 2^small terms (fewer
+    once equal powers meet); what is below counts partitions into parts of a few sizes, a polynomial in t for each remainder of t
+    by the parts' least common multiple. So the work does not depend on `large` or `u`."""
+    small, large = sorted((n1, n2))
+    upto = n1 * n2 - u   # as many ways above u as below n1 n2 - u
+    if upto < 0:
+        return 0.0
+    above = {0: 1}
+    for i in range(1, small + 1):
+        for power, times in list(above.items()):
+            above[power + large + i] = above.get(power + large + i, 0) - times
+    cycle = math.lcm(*range(1, small + 1))
+    parts = [1, *range(1, small + 1)]
+    first = [1]   # prod (1 - q^cycle) / (1 - q^part) = prod (1 + q^part + q^2part + ...), a polynomial
+    for part in parts:
+        sums = [0] * (len(first) + cycle - part)
+        for at in range(len(sums)):
+            sums[at] = (first[at] if at < len(first) else 0) + (sums[at - part] if at >= part else 0) \
+                - (first[at - cycle] if cycle <= at < len(first) + cycle else 0)
+        first = sums
+
+    def ways(t: int) -> int:
+        return sum(first[at] * math.comb((t - at) // cycle + small, small) for at in range(t % cycle, min(t, len(first) - 1) + 1, cycle))
+
+    return sum(times * ways(upto - power) for power, times in above.items() if power <= upto) / math.comb(n1 + n2, n1)

@@ -16,28 +16,28 @@ PRIORITY = {"high": 0, "medium": 1, "low": 2}
 
 
 def from_data(df: DataFrame) -> DataFrame:
-    """Fill gaps, drop duplicates, cap outliers, encode text; or "looks good"."""
+    """Fill gaps, drop duplicates, cap outliers, encode text; or nothing to do."""
     x = Exploration(df)
     out = []
     gaps = [(c, s["nulls"]) for c, s in x.stats.items() if s["nulls"]]
     if gaps:
         worst = sorted(gaps, key=lambda g: -round(g[1] / x.rows * 100, 1))[:3]
         shown = ", ".join(f"{c} ({round(n / x.rows * 100, 1)}%)" for c, n in worst)
-        out.append(("imputation", "high", "Fill missing values", [c for c, _ in gaps], "mode",
-                    f"Found {len(gaps)} columns with missing data. Top: {shown}"))
+        out.append(("imputation", "high", "Fill the gaps", [c for c, _ in gaps], "mode",
+                    f"{len(gaps)} columns have gaps, the widest are {shown}"))
     if x.duplicates:
-        out.append(("dedup", "medium", f"Remove {x.duplicates} duplicate rows", [], "exact",
-                    f"{x.duplicates} duplicate rows detected ({round(x.duplicates / x.rows * 100, 1)}% of data)"))
+        out.append(("dedup", "medium", "Keep each row once", [], "exact",
+                    f"{x.duplicates} rows ({round(x.duplicates / x.rows * 100, 1)} %) repeat another"))
     wild = [c for c, o in x.outliers.items()
             if o["iqr"] > o["n"] * 0.05 and o["n"] > 10 and x.quartiles[c][0] != x.quartiles[c][2] and x.distinct[c] > 2]
     if wild:
-        out.append(("outlier", "medium", "Handle outliers", wild, "iqr_cap",
-                    f"Outliers detected in: {', '.join(wild[:5])}"))
+        out.append(("outlier", "medium", "Cap extreme values", wild, "iqr_cap",
+                    f"over a twentieth of the values lie beyond the fences: {', '.join(wild[:5])}"))
     if x.text:
-        out.append(("encoding", "medium", f"Encode {len(x.text)} categorical columns", x.text, "one_hot",
-                    f"Categorical columns need encoding: {', '.join(x.text[:5])}"))
+        out.append(("encoding", "medium", "Turn texts into numbers", x.text, "one_hot",
+                    f"{len(x.text)} text columns: {', '.join(x.text[:5])}"))
     if not out:
-        out.append(("info", "low", "Data looks good!", [], "profile", "No major issues detected."))
+        out.append(("info", "low", "Nothing to do", [], "profile", "no gaps, repeated rows, extreme values or texts"))
     return df.sparkSession.createDataFrame(out, SCHEMA)
 
 

@@ -141,12 +141,12 @@ def test_t_columns(spark, sf):
     return rounded(numbers("t_test", load(spark, sf, "lineitem"), "statistic", "significant", column1="l_discount", column2="l_tax"), 4)
 
 
-def chi(a: str, b: str, table: str, yates: bool) -> str:
+def chi(a: str, b: str, table: str, yates: bool, digits: int = 4) -> str:
     gap = "abs(o - e) - least(0.5, abs(o - e))" if yates else "abs(o - e)"
     return f"""WITH c AS (SELECT {a} a, {b} b, count(*)::DOUBLE o FROM {table} GROUP BY 1, 2), t AS (SELECT sum(o) n FROM c),
       ra AS (SELECT a, sum(o) r FROM c GROUP BY 1), cb AS (SELECT b, sum(o) k FROM c GROUP BY 1),
       f AS (SELECT coalesce(o, 0) o, r * k / n e FROM ra CROSS JOIN cb CROSS JOIN t LEFT JOIN c ON c.a = ra.a AND c.b = cb.b)
-      SELECT pround(sum(({gap}) ** 2 / e), 4) AS statistic, (SELECT ((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1)) AS degrees_of_freedom FROM f"""
+      SELECT pround(sum(({gap}) ** 2 / e), {digits}) AS statistic, (SELECT ((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1)) AS degrees_of_freedom FROM f"""
 
 
 @query("test_chi_square", chi("o_orderstatus", "o_orderpriority", "orders", False))
@@ -183,6 +183,25 @@ def test_ks_uniform(spark, sf):
     return numbers("ks_test", df, "statistic", column="x", distribution="uniform")
 
 
+@query("test_chi_square_p_value", f"""SELECT pround(statistic, 4) AS statistic, pround(exp(-x) * (1 + x + x ** 2 / 2 + x ** 3 / 6), 6) AS p_value, exp(-x) * (1 + x + x ** 2 / 2 + x ** 3 / 6) < 0.05 AS significant
+    FROM (SELECT statistic, statistic::DOUBLE / 2 AS x FROM ({chi("o_orderstatus", "o_orderpriority", "orders", False, 12)}))""")
+def test_chi_square_p_value(spark, sf):
+    """Eight degrees of freedom, for which the tail is a finite sum."""
+    return numbers("chi_square", load(spark, sf, "orders"), "statistic", "p_value", "significant", column1="o_orderstatus", column2="o_orderpriority")
+
+
+@query("test_ks_p_value", """WITH v AS (SELECT (round(l_extendedprice * 100)::BIGINT % 9973) / 9973.0::DOUBLE AS x FROM lineitem), c AS (SELECT x, count(*) n FROM v GROUP BY 1),
+    s AS (SELECT x, n, sum(n) OVER (ORDER BY x)::DOUBLE u, sum(n) OVER ()::DOUBLE t FROM c),
+    d AS (SELECT max(greatest(u / t - x, x - (u - n) / t)) AS d, any_value(t) AS n FROM s), z AS (SELECT d, n, d * sqrt(n) AS z FROM d),
+    k AS (SELECT d, n, z, (pi() * (2 * k - 1) / 2) ** 2 AS a, exp(-((pi() * (2 * k - 1) / z) ** 2) / 8) AS w, (pi() * k) ** 2 AS b, exp(-((pi() * k / z) ** 2) / 2) AS y FROM z, range(1, 30) AS r(k))
+    SELECT pround(d, 6) AS statistic, round(1 - sqrt(2 * pi()) * (sum(w) / z + sum((a - z ** 2) * w) / (6 * z ** 4) / sqrt(n)
+      + (sum((6 * z ** 6 + 2 * z ** 4 + a * (2 * z ** 4 - 5 * z ** 2) + a ** 2 * (1 - 2 * z ** 2)) * w) / (72 * z ** 7) - sum(b * y) / (36 * z ** 3)) / n), 5) AS p_value FROM k GROUP BY d, n, z""")
+def test_ks_p_value(spark, sf):
+    """Cents of a price by a prime, against the uniform law; over 5,000 values, so the SQL's series is the one in use."""
+    df = load(spark, sf, "lineitem").select((F.round(F.col("l_extendedprice") * 100).cast("long") % 9973 / 9973.0).alias("x"))
+    return numbers("ks_test", df, "statistic", "p_value", column="x", distribution="uniform").withColumn("p_value", F.round("p_value", 5))
+
+
 @query("test_mann_whitney", """WITH x AS (SELECT l_linestatus g, l_quantity v FROM lineitem), r AS (SELECT v, count(*) n, count(*) FILTER (WHERE g = 'F') n1 FROM x GROUP BY 1),
     k AS (SELECT n1, sum(n) OVER (ORDER BY v) - (n - 1) / 2.0::DOUBLE AS mid FROM r), s AS (SELECT sum(n1 * mid) r1, sum(n1)::DOUBLE n1 FROM k)
     SELECT pround(r1 - n1 * (n1 + 1) / 2, 4) AS statistic FROM s""")
