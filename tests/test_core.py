@@ -102,6 +102,18 @@ def test_lookup_many_cold_keys(spark):
     assert got.where("k = -1 and c = 2000").count() == 2000 and got.where("k > -1 and c = 1").count() == 3000
 
 
+def test_lookup_of_wide_keys(spark):
+    """Three keys of 3,000 bytes are few, but neither collected nor broadcast; the hot one is spread over salts."""
+    key = F.when(F.col("id") % 3 == 0, F.repeat(F.lit("h"), 3000)).when(F.col("id") == 1, F.repeat(F.lit("o"), 3000)).when(F.col("id") > 2, F.lit("s"))
+    df = spark.range(3000).select(key.alias("k"), "id")
+    table = category_table(df, "k", F.max("id").alias("top"))
+    assert "LocalTableScan" not in table._jdf.queryExecution().toString() and "ExistingRDD" not in table._jdf.queryExecution().toString()
+    got = lookup(df, "k", table, ["n", "top"])
+    assert got.columns == ["k", "id", "n", "top"]
+    counts = {(None if r.k is None else r.k[0], r.n, r.top): r["count"] for r in got.groupBy("k", "n", "top").count().collect()}
+    assert counts == {("h", 1000, 2997): 1000, ("o", 1, 1): 1, ("s", 1998, 2999): 1998, (None, None, None): 1}
+
+
 def test_value_counts(spark):
     df = spark.createDataFrame([(1, 0.0, "x"), (1, -0.0, None), (None, float("nan"), "x"), (2, 2.5, "y")],
                                "a int, b double, c string")

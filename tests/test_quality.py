@@ -250,6 +250,15 @@ def test_ks_against_the_normal(spark):
     assert got["statistic"] == round(d, 6) and got["p_value"] == round(dist.kolmogorov_upper(d, 7), 6)
 
 
+def test_chi_square_with_a_hot_value(spark):
+    """Over 10,000 values in one column and one value of the other in a third of the cells, against a plain computation."""
+    pairs = [(i % 11_000, 0 if i % 3 == 0 else i % 7) for i in range(30_000)]
+    got = stats.run_test("chi_square", spark.createDataFrame(pairs, "a int, b int"), {"column1": "a", "column2": "b"})
+    cells, by_a, by_b = Counter(pairs), Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+    want = sum(o * o / (by_a[a] * by_b[b]) for (a, b), o in cells.items()) * 30_000 - 30_000
+    assert got["statistic"] == pytest.approx(want, rel=1e-6) and got["degrees_of_freedom"] == (len(by_a) - 1) * (len(by_b) - 1)
+
+
 def test_statistics(spark):
     table = spark.createDataFrame([(a, b) for a, b in [("a", "x"), ("b", "y"), ("a", "y"), ("b", "x")] * 25], "cat1 string, cat2 string")
     chi = stats.run_test("chi_square", table, {"column1": "cat1", "column2": "cat2"})

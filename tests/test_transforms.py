@@ -247,3 +247,11 @@ def test_one_date_layout_per_column(spark):
     got = apply_transform(df, "date_parse", {"columns": ["d", "m"]}).df.collect()
     assert [str(r["d"])[:10] for r in got] == ["2024-06-05", "2024-06-15", "None"]
     assert [str(r["m"])[:10] for r in got] == ["2024-05-06", "2024-05-16", "None"]
+
+
+def test_stratified_split_of_many_classes_with_a_hot_one(spark):
+    df = spark.range(36_000).select("id", F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 3 == 1, F.col("id") % 12_001).alias("c"))
+    out = apply_transform(df, "data_split", {"method": "stratified", "stratify_column": "c", "key": "id", "test_size": 0.2}).extra_outputs["labelled"]
+    got = out.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t"))
+    assert out.count() == 36_000 and got.count() > 10_000
+    assert got.where(F.col("t") != F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))).count() == 0

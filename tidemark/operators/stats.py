@@ -79,10 +79,10 @@ def chi_square(df: DataFrame, config: dict) -> dict:
     """Independence of two columns; Yates' correction for a 2 x 2 table."""
     a, b, alpha = _first(config), config.get("column2", ""), config.get("alpha", 0.05)
     _need(df, a, b, why="name two columns: column1, column2")
-    cells = df.select(value(df, a).alias("a"), value(df, b).alias("b")).dropna().groupBy("a", "b") \
-        .agg(F.count("*").cast("double").alias("o"))
-    by_a = cells.groupBy("a").agg(F.sum("o").alias("ra"))
-    by_b = cells.groupBy("b").agg(F.sum("o").alias("cb"))
+    cells = settle(df.select(value(df, a).alias("a"), value(df, b).alias("b")).dropna().groupBy("a", "b")
+                   .agg(F.count("*").cast("double").alias("o")))
+    by_a = cells.groupBy("a").agg(F.count("*").alias("n"), F.sum("o").alias("ra"))
+    by_b = cells.groupBy("b").agg(F.count("*").alias("n"), F.sum("o").alias("cb"))
     sizes = cells.agg(F.count_distinct("a"), F.count_distinct("b"), F.count("*"), F.sum("o")).first()
     rows, columns, filled, total = sizes
     if not total:
@@ -92,7 +92,7 @@ def chi_square(df: DataFrame, config: dict) -> dict:
         stat = 0.0
     else:
         e = F.col("ra") * F.col("cb") / F.lit(total)
-        joined = cells.join(by_a, "a").join(by_b, "b").withColumn("e", e)
+        joined = lookup(lookup(cells, "a", by_a, ["ra"]), "b", by_b, ["cb"]).withColumn("e", e)
         gap = F.abs(F.col("o") - F.col("e"))
         if dof == 1:
             gap = gap - F.least(F.lit(0.5), gap)

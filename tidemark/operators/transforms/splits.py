@@ -13,6 +13,7 @@ from ...functions.columns import col
 from ...functions.dates import as_timestamp, micros
 from ...functions.columns import is_datetime, as_number
 from .. import ordering, quantiles
+from ..lookup import lookup
 from .result import TransformResult, choose_method, names
 
 METHODS = ["random", "stratified", "time_based"]
@@ -45,10 +46,9 @@ def _stratified(df: DataFrame, column: str, key: list[str], test_size: float, se
     """Per class max(1, int(n * test_size)) test rows. A large class is numbered in hash ranges."""
     hashed = df.withColumn("__h", row_hash(df, key, seed))
     numbered = ordering.row_numbers(hashed, ["__h"], [column], out="__rn").drop("__h")
-    sizes = df.groupBy(col(column).alias("__label")).agg(F.count("*").alias("__n"))
-    rows = sizes.limit(10_001).collect()
-    known = F.broadcast(df.sparkSession.createDataFrame(rows, sizes.schema)) if len(rows) <= 10_000 else sizes
-    joined = numbered.join(known, col(column).eqNullSafe(F.col("__label")), "left")
+    sizes = df.groupBy(col(column)).agg(F.count("*").alias("n")).withColumn("__n", F.col("n"))
+    blank = df.agg(F.count_if(col(column).isNull())).first()[0]
+    joined = lookup(numbered, column, sizes.where(col(column).isNotNull()), ["__n"]).withColumn("__n", F.coalesce("__n", F.lit(blank)))
     test = F.col("__rn") <= F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(test_size)))
     return joined.withColumn("split", F.when(test, "test").otherwise("train")).select(*[col(c) for c in df.columns], "split")
 

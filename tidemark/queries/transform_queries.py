@@ -239,6 +239,13 @@ def encode_frequency(spark, sf):
     return done(gappy(spark, sf).select("o_orderkey", "o_orderpriority"), "encoding", 6, method="frequency", column="o_orderpriority")
 
 
+@query("encode_text_frequency", """WITH m AS (SELECT text v, count(*)::DOUBLE / (SELECT count(text) FROM documents) f FROM documents GROUP BY 1)
+    SELECT doc_id, round(coalesce(f, 0), 6) AS text_freq FROM documents LEFT JOIN m ON v = text""")
+def encode_text_frequency(spark, sf):
+    """Keys as wide as whole texts: none of them is collected, however few there are."""
+    return done(load(spark, sf, "documents").select("doc_id", "text"), "encoding", 6, method="frequency", column="text")
+
+
 @query("encode_binary", """SELECT l_orderkey, l_linenumber, (l_linestatus = 'O')::INT AS l_linestatus_binary FROM lineitem""")
 def encode_binary(spark, sf):
     return done(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus"), "encoding", method="binary", column="l_linestatus")
