@@ -211,6 +211,13 @@ def test_p_values():
     assert dist.kolmogorov_upper(1.3581 / 1000, 1_000_000) == pytest.approx(0.05, abs=1e-3)
 
 
+def test_freshness_of_texts_with_the_day_first(spark):
+    days = spark.createDataFrame([("25/05/2024",), ("05/06/2024",), ("03/04/2024",)], "d string")
+    assert run(days, "freshness", column="d", threshold=24).metric_value == -84.0   # 5 June, three and a half days ahead
+    months = spark.createDataFrame([("05/25/2024",), ("05/06/2024",), ("03/04/2024",)], "d string")
+    assert run(months, "freshness", column="d", threshold=24).metric_value == 180.0   # 25 May
+
+
 @pytest.mark.parametrize("n1, n2", [(1, 1), (1, 5), (2, 3), (3, 3), (5, 7), (8, 8), (9, 3)])
 def test_rank_sum_tail_against_all_choices(n1, n2):
     ways = Counter(sum(s) - n1 * (n1 - 1) // 2 for s in combinations(range(n1 + n2), n1))

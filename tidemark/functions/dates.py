@@ -5,6 +5,8 @@ Times are naive (TIMESTAMP_NTZ), so results do not depend on the session time zo
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .columns import col, is_datetime
@@ -85,6 +87,22 @@ def as_timestamp(df: DataFrame, name: str, fmt: str | None = None, day_first: bo
     return F.coalesce(*tries)
 
 
+class Reading(NamedTuple):
+    """A column as timestamps in one order of day and month; `sure` is not null where that order itself can be read."""
+
+    value: Column
+    sure: Column
+
+
+def readings(df: DataFrame, name: str) -> list[Reading]:
+    """For one pass over a column whose order is not known yet: texts with the month first, then with the day first. As in
+    `day_first`, the second holds if more of its values are sure. Other columns have one reading."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        ts = as_timestamp(df, name)
+        return [Reading(ts, ts)]
+    return [Reading(as_timestamp(df, name, day_first=first), in_order(col(name), first)) for first in (False, True)]
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 of a naive timestamp, as a long."""
     day = F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400_000_000)

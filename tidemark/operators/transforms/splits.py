@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.columns import col
-from ...functions.dates import as_timestamp, micros
+from ...functions.dates import as_timestamp, day_first, micros
 from ...functions.columns import is_datetime, as_number
 from .. import ordering, quantiles
 from ..lookup import lookup
@@ -59,7 +59,8 @@ def _time(df: DataFrame, column: str, key: list[str], test_size: float, seed: in
     take = int(total * (1 - test_size))
     if take <= 0 or take >= total:
         return df.withColumn("split", F.lit("test" if take <= 0 else "train"))
-    when = micros(as_timestamp(df, column)) if not as_is_number(df, column) else as_number(df, column)
+    days = day_first(df, [column]).get(column, False)
+    when = micros(as_timestamp(df, column, day_first=days)) if not as_is_number(df, column) else as_number(df, column)
     moment = F.coalesce(when, F.lit(LAST))
     edge = quantiles.order_statistics(df, {"t": moment}, {"t": [take - 1]}, {"t": total})["t"][take - 1]
     before, tied = df.agg(F.count_if(moment < F.lit(edge)), F.count_if(moment == F.lit(edge))).first()

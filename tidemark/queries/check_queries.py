@@ -122,6 +122,15 @@ def check_freshness(spark, sf):
                as_of=datetime(2024, 2, 1))
 
 
+@query("check_freshness_day_first", verdict("day", "d", "freshness", "age <= 5000", "n", "stale", "age", "5000", """
+      SELECT count(*) n, date_diff('microsecond', max(o_orderdate)::TIMESTAMP, TIMESTAMP '1999-01-01 00:00:00') / 3600000000.0::DOUBLE age,
+      count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 5000 HOUR) stale FROM orders"""))
+def check_freshness_day_first(spark, sf):
+    """Texts such as 31/12/1998, of which some could be read with the month first as well."""
+    df = load(spark, sf, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
+    return run(df, [rule("day", "freshness", column="d", threshold=5000)], as_of=datetime(1999, 1, 1))
+
+
 @query("check_schema", " UNION ALL ".join([
     verdict("open", "", "schema", "true", "n", "0", "3", "0", "SELECT count(*) n FROM nation"),
     verdict("same", "", "schema", "true", "n", "0", "3", "3", "SELECT count(*) n FROM nation"),

@@ -432,6 +432,14 @@ def split_by_time(spark, sf):
     return r.extra_outputs["labelled"].groupBy("split").agg(F.count("*").alias("rows"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
 
 
+@query("split_by_text_time", """WITH r AS (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate) AS i, count(*) OVER () AS n FROM orders)
+    SELECT CASE WHEN i <= floor(n * 0.7)::BIGINT THEN 'train' ELSE 'test' END AS split, count(*) AS rows, min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM r GROUP BY 1""")
+def split_by_text_time(spark, sf):
+    df = load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
+    r = apply_transform(df, "data_split", {"method": "time_based", "time_column": "d", "test_size": 0.3, "key": "o_orderkey"})
+    return r.extra_outputs["labelled"].groupBy("split").agg(F.count("*").alias("rows"), F.min("day").alias("first"), F.max("day").alias("last"))
+
+
 @query("split_parts_cover", "SELECT o_orderkey, o_custkey FROM orders")
 def split_parts_cover(spark, sf):
     r = apply_transform(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "data_split", {"key": "o_orderkey", "test_size": 0.3})
