@@ -144,6 +144,17 @@ def snapshot_history(spark, sf):
     return past.history().select("transform_type", "rows")
 
 
+@query("snapshot_storage", """SELECT 3 AS snapshots, (SELECT count(*) FROM orders) * 3 AS named_rows, (SELECT count(*) FROM orders) * 2 AS stored_rows""")
+def snapshot_storage(spark, sf):
+    """Twice the same rows, in another order the second time, then a value changed in every row."""
+    past = History(spark, fresh_path(spark, "history"), "orders")
+    df = load(spark, sf, "orders")
+    past.save_snapshot(df, "dedup")
+    past.save_snapshot(df.repartition(5, "o_custkey"), "dedup")
+    past.save_snapshot(df.withColumn("o_totalprice", -F.col("o_totalprice") - 1), "outlier")
+    return past.usage()
+
+
 @query("append_results", "SELECT event_type, count(*) * 2 AS n FROM events GROUP BY 1")
 def append_results(spark, sf):
     rows = load(spark, sf, "events").select("event_id", "event_type")
