@@ -139,6 +139,50 @@ def test_few_values_leaves_wide_columns_out(spark):
     assert [r["column"] for r in values.few_values(df).collect()] == ["fits"]
 
 
+def gappy_points(n: int, seed: int = 5):
+    """Three features, a fifth of the values of two of them missing, a hot point, one infinite value."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 10, (n, 3))
+    x[:, 1][rng.random(n) < .2] = np.nan
+    x[:, 2][rng.random(n) < .2] = np.nan
+    x[rng.random(n) < .1] = [1.0, 2.0, 3.0]
+    x[7, 0] = np.inf
+    return np.round(x, 1), np.where(rng.random(n) < .3, np.nan, np.round(rng.random(n) * 100, 2))
+
+
+@pytest.mark.parametrize("cell_rows, indexes", [(20, 64), (20, 2), (150, 64), (10**9, 64)])
+def test_neighbours_with_gaps_by_indexes_equal_brute_force(spark, monkeypatch, cell_rows, indexes):
+    from tidemark.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "MAX_INDEXES", indexes)
+    x, y = gappy_points(2500)
+    x[11] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    got = fill_from_neighbours(df, "y", ["a", "b", "c"], 4, 90, 70, cell_rows).toPandas().set_index("id").y
+    dx, dy = x[~np.isnan(y)], y[~np.isnan(y)]
+    for i in np.flatnonzero(np.isnan(y)):
+        with np.errstate(all="ignore"):
+            gaps = (dx - x[i]) ** 2
+            known = ~np.isnan(gaps)
+            d = np.sqrt(np.where(known, gaps, 0).sum(1) / known.sum(1))
+        near = [v for away, v in sorted(zip(np.where(np.isnan(d), np.inf, d), dy)) if np.isfinite(away)][:4]
+        assert got[i] == pytest.approx(np.mean(near) if near else dy.mean())
+    assert (got.sort_index()[~np.isnan(y)] == dy).all()
+
+
+def test_receivers_with_gaps_visit_few_donors(spark):
+    from tidemark.operators import neighbours
+
+    x, y = gappy_points(20_000)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})).select(F.array("a", "b", "c").alias("__vec"), F.col("y").alias("__y"))
+    donors = rows.where("not isnan(__y)").groupBy("__vec", "__y").agg(F.count("*").alias("n"))
+    receivers = rows.where("isnan(__y)").groupBy("__vec").agg(F.count("*").alias("n"))
+    placed, calls = neighbours._visits(donors, receivers, 5, 100)
+    compared = placed.groupBy("cell").count().join(calls.groupBy("cell").agg(F.count("*").alias("calls")), "cell") \
+        .agg(F.sum(F.col("count") * F.col("calls"))).first()[0]
+    assert compared < 0.2 * donors.count() * receivers.count()
+
+
 @pytest.mark.parametrize("blocks", [(20_000, 20_000), (40, 33)])
 def test_neighbours_equal_brute_force(spark, blocks):
     rng = random.Random(3)

@@ -135,6 +135,23 @@ def test_one_hot_has_no_cap_but_takes_a_limit(spark):
         one_hot(df, "c", limit=1000)
 
 
+def test_one_hot_of_many_values_is_a_sparse_column(spark):
+    from tidemark.operators.transforms.encoding import one_hot_index, one_hot_sparse
+
+    df = frame(spark, "o int, cat string", (1, "b"), (2, None), (3, "a"), (4, "b"))
+    got = [(r["indices"], r["values"], r["size"]) for r in column(apply_transform(df, "encoding", {"column": "cat", "method": "one_hot_sparse"}).df, "cat_one_hot", "o")]
+    assert got == [([1], [1.0], 2), ([], [], 2), ([0], [1.0], 2), ([1], [1.0], 2)]
+    assert [tuple(r) for r in one_hot_index(df, "cat").orderBy("position").collect()] == [(0, "a", 1), (1, "b", 2)]
+    wide = apply_transform(df, "encoding", {"column": "cat", "method": "one_hot", "max_columns": 1}).df
+    assert wide.columns == ["o", "cat_one_hot"]
+    assert apply_transform(df, "encoding", {"column": "cat", "method": "one_hot", "max_columns": 2}).df.columns == ["o", "cat_a", "cat_b"]
+    none = one_hot_sparse(frame(spark, "cat string", (None,)), "cat").first()["cat_one_hot"]
+    assert (none["size"], none["indices"]) == (0, [])
+    many = spark.range(1_000_000).select(F.format_string("key-%07d", (F.col("id") * 7919) % 1_000_000).alias("c"))
+    encoded = one_hot_sparse(many, "c").select("c", F.get("c_one_hot.indices", F.lit(0)).alias("at"), "c_one_hot.size")
+    assert encoded.where("size <> 1000000 or at is null or at <> cast(substring(c, 5) as bigint)").count() == 0 and encoded.count() == 1_000_000
+
+
 def test_target_encoding(spark):
     df = frame(spark, "o int, cat string, target long", (1, "a", 1), (2, "a", 1), (3, "b", 0), (4, "b", 0), (5, None, 1))
     assert column(apply_transform(df, "encoding", {"method": "target", "column": "cat", "target_column": "target"}).df,

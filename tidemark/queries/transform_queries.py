@@ -76,6 +76,22 @@ def impute_knn(spark, sf):
     return done(df, "imputation", method="knn", column="bal")
 
 
+@query("impute_knn_gaps", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS nation,
+      CASE WHEN c_custkey % 7 <> 0 THEN length(c_name) + c_custkey % 50 END AS size, CASE WHEN c_custkey % 11 <> 3 THEN c_acctbal END AS bal FROM customer),
+    p AS (SELECT a.c_custkey, b.bal, row_number() OVER (PARTITION BY a.c_custkey ORDER BY sqrt((
+        (a.c_custkey - b.c_custkey)::DOUBLE ** 2 + coalesce((a.nation - b.nation)::DOUBLE ** 2, 0) + coalesce((a.size - b.size)::DOUBLE ** 2, 0))
+        / (1 + (a.nation IS NOT NULL AND b.nation IS NOT NULL)::INT + (a.size IS NOT NULL AND b.size IS NOT NULL)::INT)), b.bal) rn
+      FROM c a, c b WHERE a.bal IS NULL AND b.bal IS NOT NULL)
+    SELECT c_custkey, round(coalesce(bal, (SELECT avg(bal) FROM p WHERE p.c_custkey = c.c_custkey AND rn <= 5)), 4) AS bal FROM c""")
+def impute_knn_gaps(spark, sf):
+    """Neighbours of customers where a fifth and a seventh of two features are missing."""
+    key = F.col("c_custkey")
+    df = load(spark, sf, "customer").select(
+        "c_custkey", F.when(key % 5 != 0, F.col("c_nationkey")).alias("nation"),
+        F.when(key % 7 != 0, F.length("c_name") + key % 50).alias("size"), F.when(key % 11 != 3, F.col("c_acctbal")).alias("bal"))
+    return done(df, "imputation", method="knn", column="bal").drop("nation", "size")
+
+
 # ---- outliers -------------------------------------------------------------------------------------------
 
 PRICES = "x AS (SELECT o_orderkey, o_totalprice * o_totalprice / 1000000 AS v FROM g)"
@@ -201,6 +217,16 @@ def encode_one_hot(spark, sf):
     return done(gappy(spark, sf).select("o_orderkey", "o_orderpriority"), "one_hot", method="onehot", column="o_orderpriority")
 
 
+@query("encode_one_hot_sparse", """WITH c AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS position FROM documents WHERE text IS NOT NULL GROUP BY 1)
+    SELECT doc_id, (SELECT count(*) FROM c) AS size, coalesce(position, -1) AS position, (position IS NOT NULL)::INT::DOUBLE AS total FROM documents d LEFT JOIN c ON d.text = c.text""")
+def encode_one_hot_sparse(spark, sf):
+    """Every distinct text of the documents is a place of one sparse vector column."""
+    out = done(load(spark, sf, "documents").select("doc_id", "text"), "encoding", method="one_hot_sparse", column="text")
+    vector = F.col("text_one_hot")
+    return out.select("doc_id", vector["size"].alias("size"), F.coalesce(F.get(vector["indices"], F.lit(0)), F.lit(-1).cast("long")).alias("position"),
+                      F.aggregate(vector["values"], F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 CODES = "c AS (SELECT o_orderpriority v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM g WHERE o_orderpriority IS NOT NULL GROUP BY 1)"
 
 
