@@ -139,6 +139,17 @@ def test_few_values_leaves_wide_columns_out(spark):
     assert [r["column"] for r in values.few_values(df).collect()] == ["fits"]
 
 
+def test_quantiles_of_many_columns_use_bounded_buffers(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "COLUMNS", 7)
+    monkeypatch.setattr(quantiles, "BUFFERED", 900)
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({f"c{i}": np.round(rng.normal(i, 5, 700), 1) for i in range(20)})
+    df = spark.createDataFrame(pdf)
+    got = quantiles.quantiles(df, {c: F.col(c) for c in pdf}, [.1, .5, .99], sort_limit=300)
+    for c in pdf:
+        np.testing.assert_allclose(got[c], pdf[c].quantile([.1, .5, .99]).to_numpy(), rtol=1e-12)
+
+
 def gappy_points(n: int, seed: int = 5):
     """Three features, a fifth of the values of two of them missing, a hot point, one infinite value."""
     rng = np.random.default_rng(seed)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000      # of the sketch: rank error at most rows / ACCURACY
 SORT_LIMIT = 20_000    # rows of an interval that are sorted in one aggregation buffer
+BUFFERED = 1_000_000   # rows of all intervals sorted by one job
+COLUMNS = 100          # columns whose sketches one job holds
 
 
 @dataclass
@@ -87,8 +89,13 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str,
                      counts: dict[str, int], sort_limit: int = SORT_LIMIT) -> dict[str, dict[int, object]]:
     """Values at 0-based ranks among the non-null values of each column expression.
 
-    `counts` gives the number of non-null values. Columns must hold no NaN.
+    `counts` gives the number of non-null values. Columns must hold no NaN. COLUMNS columns share their scans; more take
+    more scans, so that buffers do not grow with the number of columns.
     """
+    if len(ranks) > COLUMNS:
+        names = list(ranks)
+        return {name: found for k in range(0, len(names), COLUMNS) for name, found in order_statistics(
+            df, columns, {n: ranks[n] for n in names[k:k + COLUMNS]}, counts, sort_limit).items()}
     found: dict[str, dict[int, object]] = {name: {} for name in ranks}
     todo = [_Interval(name, sorted(set(rs)), 0, counts[name]) for name, rs in ranks.items() if rs]
 
@@ -124,9 +131,14 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str,
             if over:
                 todo.append(_Interval(t.column, over, past_b, t.below + t.inside - past_b, b, t.high))
 
-    if todo:
+    while todo:
+        # at least one interval a job, and no more than BUFFERED rows in the buffers of all
+        size, now = 0, []
+        while todo and (not now or size + todo[0].inside <= BUFFERED):
+            size += todo[0].inside
+            now.append(todo.pop(0))
         picks, names = [], []
-        for t in todo:
+        for t in now:
             ordered = F.sort_array(F.collect_list(t.values(columns[t.column])))
             for r in t.ranks:
                 picks.append(F.get(ordered, F.lit(r - t.below)).alias(f"p{len(picks)}"))

@@ -183,6 +183,20 @@ def check_expression(spark, sf):
     return run(load(spark, sf, "orders"), [rule("early", "expression", expression="o_orderdate < timestamp_ntz'2000-01-01'")])
 
 
+@query("check_of_ones_own", """SELECT 'even' AS rule_id, 'even_keys' AS check_type, count(*) AS records_checked, count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS records_failed FROM orders
+    UNION ALL SELECT 'low', 'even_keys', count(*), count(*) FILTER (WHERE o_custkey % 2 <> 0) FROM orders
+    UNION ALL SELECT 'full', 'completeness', count(*), count(*) FILTER (WHERE o_totalprice IS NULL) FROM orders""")
+def check_of_ones_own(spark, sf):
+    """A registered check, used twice in one batch with a check of the library; it joins their aggregation."""
+    checks.register_check("even_keys", lambda df, config: [F.count_if(F.col(config["column"]) % 2 != 0)],
+                          lambda config, got, rows: (got[0] == 0, got[0], float(got[0]), 0.0, "odd keys"))
+    try:
+        rules = [rule("even", "even_keys", column="o_orderkey"), rule("low", "even_keys", column="o_custkey"), rule("full", "completeness", column="o_totalprice")]
+        return checks.check_table(load(spark, sf, "orders"), rules).select("rule_id", "check_type", "records_checked", "records_failed")
+    finally:
+        checks.CUSTOM.pop("even_keys")
+
+
 LINE_RULES = [
     rule("qty_full", "completeness", column="l_quantity"), rule("qty_range", "range", column="l_quantity", min_value=1, max_value=45),
     rule("flag_set", "valid_values", column="l_returnflag", valid_values=["A", "N"]),
