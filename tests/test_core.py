@@ -243,3 +243,17 @@ def test_order_is_the_same_at_any_range_size(spark, kind, per_range):
     assert [r["v"] for r in ordering.fill(df, ["v"], order, rows_per_range=per_range).orderBy("id").collect()] == last
     if per_range == 7:
         assert ordering.with_ranges(df, order, per_range).select("__r").distinct().count() > 20
+
+
+@pytest.mark.parametrize("begin", ["", "same beginning " * 10])
+def test_ranges_of_long_texts_are_cut_by_bytes(spark, monkeypatch, begin):
+    monkeypatch.setattr(ordering, "BYTES_PER_RANGE", 20_000, raising=False)
+    texts = [f"{begin}{random.Random(k).random()}" + "é" * 500 for k in range(300)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bytes_of = F.sum(F.coalesce(F.octet_length("t"), F.lit(0)))
+    sizes = [r[0] for r in ordering.with_ranges(df, ["t"]).groupBy("__r").agg(bytes_of).collect()]
+    assert len(sizes) > 10 and max(sizes) < 80_000
+    numbered = ordering.row_numbers(df, ["t"], out="n")
+    want = [(None, 1), *((t, k) for k, t in enumerate(sorted(t for t in texts if t is not None), 2))]
+    assert [(r["t"], r["n"]) for r in numbered.orderBy("n").collect()] == want
+    assert numbered.schema["n"].dataType.simpleString() == "bigint"

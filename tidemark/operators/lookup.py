@@ -44,19 +44,19 @@ def category_table(df: DataFrame, key: str, *aggregates: Column, small: int = SM
     return df.sparkSession.createDataFrame([s["row"] for s in seen], counts.schema)
 
 
-def lookup(df: DataFrame, key: str, stats: DataFrame, names: list[str], small: int = SMALL) -> DataFrame:
+def lookup(df: DataFrame, key: str, stats: DataFrame, names: list[str], small: int = SMALL, settled: bool = False) -> DataFrame:
     """Left join `stats` (columns: key, n, names...) on `key`.
 
     A statistic of at most `small` rows, none of them wide (both looked up first), is broadcast and the data is not shuffled.
     Beyond that, keys with over a thousandth of the rows, of which there are fewer than a thousand, are broadcast, and only rows
     with other keys are shuffled, so no task gets one huge key. Hot keys that are too wide to be broadcast are shuffled under as
-    many salts as they have thousandths; their hashes tell which rows those are.
+    many salts as they have thousandths; their hashes tell which rows those are. A statistic that is `settled` is not stored again.
     """
     wanted = stats.select(col(key).alias("__key"), *names)
     on = col(key) == F.col("__key")
     if _is_small(wanted, wanted.columns, small):
         return df.join(F.broadcast(wanted), on, "left").drop("__key")
-    stats = settle(stats)
+    stats = stats if settled else settle(stats)
     total = stats.agg(F.sum("n")).first()[0]
     is_hot, wide = F.col("n") * HOT_SHARE > total, _wide(stats, [key, *names], SMALL)
     hot = stats.where(is_hot & ~wide).select(col(key).alias("__key"), *names)

@@ -51,7 +51,7 @@ def one_hot_sparse(df: DataFrame, name: str, out: str | None = None) -> DataFram
     `one_hot_index`, and nothing for null. However many values there are, the schema stays, and the values stay on the cluster."""
     table = settle(one_hot_index(df, name))
     size = table.count()
-    coded = lookup(df, name, table.select(col("value").alias(name), "n", "position"), ["position"])
+    coded = lookup(df, name, table.select(col("value").alias(name), "n", "position"), ["position"], settled=True)
     known = F.col("position").isNotNull()
     vector = F.struct(F.lit(size).cast("long").alias("size"),
                       F.when(known, F.array("position")).otherwise(F.array().cast("array<bigint>")).alias("indices"),
