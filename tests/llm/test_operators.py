@@ -496,6 +496,15 @@ def test_words_are_encoded_as_texts():
         assert encode([t])[0] == np.array(encode.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_marks_behind_words_are_learned_apart(monkeypatch):
+    monkeypatch.setattr(packing, "GENERATION", 20)
+    draw, encode = random.Random(7), packing.Encoder(None)
+    encode(["Abc*** abc&&&\t\tABC.) abc"])
+    assert {"abc", "***", "&&&", ".)"} <= set(encode.young)
+    for t in ["ΣΑΣ***", "don't*** é***'s", "a<|endoftext|>*", *("".join(draw.choice("aÉß'., \n\t\r\x0b\x1c*$-<|>\u0301İΣ1T") for _ in range(40)) for _ in range(500))]:
+        assert encode([t])[0] == np.array(encode.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_packing_odd_input(spark):
     docs = odd_documents(spark)
     got = packing.pack(docs).collect()

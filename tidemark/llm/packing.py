@@ -14,7 +14,6 @@ apart by doc_id, then piece and checksum; an empty table gives no rows; other co
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -28,8 +27,8 @@ from .common import map_rows, settle, text_of
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: This tokenizer drops white space and never joins across it, so words between these are encoded once per task.
-WORDS = re.compile(r"[^ \n\t\r]+")
+#: ASCII marks but the apostrophe, which may begin a contraction.
+MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ROWS_PER_BUCKET = 100_000
 #: Words in one generation of the memo.
@@ -42,10 +41,11 @@ def letters_only(word: str) -> bool:
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32-bit, without the end id), by way of a memo of words.
+    """Ids of texts as bytes (little-endian unsigned 32-bit, without the end id), by way of a memo of words. The tokenizer drops
+    white space and never joins across it, so words between spaces and line breaks are encoded once per task.
 
     Words that are new to a task are encoded together: those of letters only as one text, whose ids fall apart at the ids that
-    end a word. A word of letters with one mark behind it is the word and the mark, since the tokenizer never joins
+    end a word. A word of letters with marks behind it is the word and the marks, since the tokenizer never joins
     them. The memo has two generations, so frequent words stay while memory is bounded."""
 
     def __init__(self, path: str | None):
@@ -62,31 +62,46 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         young, old = self.young, self.old
+        known = old.keys() & words
+        parts: set[str] = set()
         cores: dict[str, tuple[str, str]] = {}
-        for word in words:
-            if word in old:
-                young[word] = old[word]
-                continue
-            core, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" and letters_only(word[:-1]) else (word, "")
-            cores[word] = core.lower() if core.isascii() and core.isalpha() else core, tail
-        new = {part for pair in cores.values() for part in pair if part and part not in young and part not in old}
+        for word in words.difference(known) if known else words:
+            core = word.rstrip(MARKS)
+            if core == word or not letters_only(core):
+                core = word
+            tail = word[len(core):]
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+            parts.add(core)
+            if core != word:
+                parts.add(tail)
+                cores[word] = core, tail
+        for word in known | (old.keys() & parts):
+            young[word] = old[word]
+        new = parts.difference(young)
         letters = [w for w in new if letters_only(w)]
-        ids = np.array(self.tok.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.encode([" ".join(letters)])[0], "<u4")
         cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1).tolist() if len(ids) else [0]
         if len(cuts) != len(letters) + 1:  # some letters are joined or dropped by the normalizer: one by one then
             letters, cuts = [], []
         data = ids.tobytes()
         for word, start, end in zip(letters, cuts, cuts[1:]):
             young[word] = data[4 * start:4 * end]
-        for word in new.difference(letters):
-            young[word] = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        rest = list(new.difference(letters))
+        for word, found in zip(rest, self.encode(rest)):
+            young[word] = np.array(found, "<u4").tobytes()
         for word, (core, tail) in cores.items():
-            young[word] = b"".join(young[p] if p in young else old[p] for p in (core, tail) if p)
+            young[word] = young[core] + young[tail] if tail else young[core]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids without places in the text, which would cost about as much as the ids."""
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = list(map(WORDS.findall, texts))
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.young) > GENERATION:
             self.young, self.old = {}, self.young
+        self.young[""] = b""  # between two spaces
         self.learn(set().union(*split).difference(self.young))
         return [b"".join(map(self.young.__getitem__, words)) for words in split]
 
